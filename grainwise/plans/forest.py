@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainwise.plans.ranges import common_type, comparison, range_matches
 from grainwise.plans.spec import BoundChain, BoundJoin, Ref, quoted
 from grainwise.plans.storage import Shelf
 from grainwise.plans.weights import (
@@ -102,6 +103,7 @@ class Forest:
         self.chain, self.shelf, self.spark = chain, shelf, shelf.spark
         self.n_measures = len(measures)
         self.hot_floor = hot_floor
+        self.partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.rows: int | None = None
         self.base: list[tuple] | None = None
         self._left: DataFrame | None = None
@@ -215,7 +217,7 @@ class Forest:
         """Counts join ``i`` with one aggregate over the key counts of both sides."""
         b = self.chain.joins[i]
         if b.reads_left:
-            return self._measure_real(i)
+            return self._measure_range(i) or self._measure_real(i)
         last = i == len(self.chain.joins) - 1
         self._hot = (None, None)
         left, right = self.left_keys(b), self.right_keys(b)
@@ -231,39 +233,41 @@ class Forest:
         return counts
 
     def _stats(self, b: BoundJoin, left: DataFrame, right: DataFrame):
-        both = self.matched_keys(b, left, right)
-        nk = len(b.left)
-        lw, n, r = (F.coalesce(F.col(c), F.lit(0)) for c in ("lw", "n", "r"))
-        matched = (lw > 0) & (r > 0)
-        on_left, on_right = F.col("lt").isNotNull(), F.col("n").isNotNull()
-        left_full = reduce(lambda x, y: x & y, [F.col(f"k{x}").isNotNull() for x in range(nk)], F.lit(True))
-        left_null = reduce(lambda x, y: x & y, [F.col(f"k{x}").isNull() for x in range(nk)], F.lit(nk > 0))
-        right_full = reduce(lambda x, y: x & y, [F.col(f"q{x}").isNotNull() for x in range(nk)], F.lit(True))
-        big = lambda c: F.sum(c.cast(BIG))
-        hits = F.when(matched, r)
+        """Everything the step reports, as one row over the key counts of both sides.
+
+        Sums of one side's rows fit the type of its counts; only the product of both
+        sides needs decimal(38,0).
+        """
+        nk = range(len(b.left))
+
+        def each(template: str, word: str, empty: str) -> str:
+            return f" {word} ".join(template.format(n) for n in nk) or empty
+
+        both = self.matched_keys(b, left, right).selectExpr(
+            "*", "coalesce(lw, 0) AS l", "coalesce(n, 0) AS n0", "coalesce(r, 0) AS r0",
+            "coalesce(lw > 0 AND r > 0, false) AS hit",
+            each("k{} IS NOT NULL", "AND", "true") + " AS l_full",
+            f"lt IS NOT NULL AND {each('k{} IS NULL', 'AND', 'false')} AS l_null",
+            each("q{} IS NOT NULL", "AND", "true") + " AS r_full")
         aggs = {
-            "l_rows": big(lw), "l_max": F.max(lw), "l_max_nn": F.max(F.when(left_full, lw)),
-            "l_null": big(F.when(on_left & left_null, lw)),
-            "l_tuples": F.sum("lt"), "l_hot": F.max(F.when(left_full, F.col("lt"))),
-            "n_rows": big(n), "n_keys": F.count("n"), "max_dup": F.max("n"),
-            "max_dup_nn": F.max(F.when(right_full, F.col("n"))),
-            "dup_keys": F.count_if(F.col("n") > 1),
-            "null_rows": big(F.when(on_right & ~right_full, n)),
-            "matched": big(F.when(matched, lw)), "r_max": F.max(hits),
-            "inner": F.sum(F.when(matched, lw.cast(BIG) * r.cast(BIG))),
-            "r_rest": big(F.when(lw > 0, n - r).otherwise(n)),
-            "r_rest_keys": F.count_if(on_right & (lw == 0)),
+            "l_rows": "sum(l)", "l_max": "max(l)", "l_max_nn": "max(l) FILTER (WHERE l_full)",
+            "l_null": "sum(l) FILTER (WHERE l_null)", "l_tuples": "sum(lt)",
+            "l_hot": "max(lt) FILTER (WHERE l_full)",
+            "n_rows": "sum(n)", "n_keys": "count(n)", "max_dup": "max(n)",
+            "max_dup_nn": "max(n) FILTER (WHERE r_full)", "dup_keys": "count_if(n > 1)",
+            "null_rows": "sum(n) FILTER (WHERE NOT r_full)",
+            "matched": "sum(l) FILTER (WHERE hit)", "r_max": "max(r) FILTER (WHERE hit)",
+            "inner": f"sum(CAST(l AS {BIG}) * CAST(r0 AS {BIG})) FILTER (WHERE hit)",
+            "r_rest": "sum(if(l > 0, n0 - r0, n0))", "r_rest_keys": "count_if(n IS NOT NULL AND l = 0)",
         }
+        times = {"semi": "if(hit, 1, 0)", "anti": "if(hit, 0, 1)", "left": "if(hit, r0, 1)",
+                 "full": "if(hit, r0, 1)"}.get(b.how, "r0")
+        kept = {"left": "true", "full": "true", "anti": "NOT hit"}.get(b.how, "hit")
         for m in range(self.n_measures):
-            s, c = F.col(f"__s{m}"), F.col(f"__c{m}")
-            times = {
-                "inner": hits, "cross": hits, "right": hits,
-                "semi": F.when(matched, 1), "anti": F.when(~matched, 1),
-                "left": F.coalesce(hits, F.lit(1)), "full": F.coalesce(hits, F.lit(1)),
-            }[b.how].cast("double")
-            aggs |= {f"bs{m}": F.sum(s), f"bc{m}": F.sum(c),
-                     f"js{m}": F.sum(s * times), f"jc{m}": F.sum(c * times)}
-        return both.agg(*[v.alias(k) for k, v in aggs.items()]).first()
+            aggs |= {f"bs{m}": f"sum(__s{m})", f"bc{m}": f"sum(__c{m})",
+                     f"js{m}": f"sum(__s{m} * {times}) FILTER (WHERE {kept})",
+                     f"jc{m}": f"sum(__c{m} * {times}) FILTER (WHERE {kept})"}
+        return both.agg(*[F.expr(v).alias(k) for k, v in aggs.items()]).first()
 
     def _counts(self, b: BoundJoin, row) -> Counts:
         v = {k: (0 if x is None else int(x)) for k, x in row.asDict().items() if k[:2] not in
@@ -313,23 +317,21 @@ class Forest:
 
     def _find_hot(self, b: BoundJoin, row) -> tuple[Hot | None, Hot | None]:
         """Keys that exceed a partition's fair share, on either side."""
-        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        nk = len(b.left)
-        if nk == 0:
+        if not b.left:
             return None, None
+        names = range(len(b.left))
+        return (self._hot_keys(self._left, [f"k{n}" for n in names], "lt", row["l_hot"], row["l_tuples"]),
+                self._hot_keys(self._right, [f"q{n}" for n in names], "n", row["max_dup_nn"], row["n_rows"]))
 
-        def listed(df: DataFrame, keys: str, size: str, worst, total) -> Hot | None:
-            limit = max(1, self.hot_floor, int(total or 0) // partitions)
-            if int(worst or 0) <= limit:
-                return None
-            found = df.where(F.col(size) > limit).select(
-                *[F.col(f"{keys}{n}").alias(f"h{n}") for n in range(nk)]).dropna()
-            # fewer than `partitions` rows by the choice of `limit`
-            hot = self.spark.createDataFrame(found.collect(), found.schema)
-            return Hot(hot, min(partitions, -(-int(worst) // limit) + 1))
-
-        return (listed(self._left, "k", "lt", row["l_hot"], row["l_tuples"]),
-                listed(self._right, "q", "n", row["max_dup_nn"], row["n_rows"]))
+    def _hot_keys(self, df: DataFrame, keys: list[str], size: str, worst, total) -> Hot | None:
+        limit = max(1, self.hot_floor, int(total or 0) // self.partitions)
+        if int(worst or 0) <= limit:
+            return None
+        found = df.where(F.col(size) > limit).select(
+            *[F.col(k).alias(f"h{n}") for n, k in enumerate(keys)]).dropna()
+        # fewer rows than partitions, by the choice of `limit`
+        hot = self.spark.createDataFrame(found.collect(), found.schema)
+        return Hot(hot, min(self.partitions, -(-int(worst) // limit) + 1))
 
     # -- applying a join ---------------------------------------------------------
     def advance(self, i: int, counts: Counts) -> None:
@@ -581,27 +583,94 @@ class Forest:
         return Node(alive, regroup(df, [c for c in cols if c in df.columns], self.n_measures, BIG),
                     LONG_MAX + 1, mixed=True, scan=False)
 
-    def _measure_real(self, i: int) -> Counts:
-        """Counts a join whose condition compares both sides beyond key equality: the
-        distinct tuples the condition reads are joined, with their weights."""
+    def _profile_joint(self, i: int) -> tuple[Node, list[Column] | None, Counts]:
+        """The state as one frame of distinct tuples, its left keys, and the key profile."""
         b = self.chain.joins[i]
         if not self.parts:
             self.parts = [Part(Node({0}, self._empty_state(), 1))]
         state = self._joint(i)
         self.parts = [Part(state)]
+        tuples = [c for c in state.df.columns if c != W and c not in measure_names(self.n_measures)]
+        state.df = self.shelf.keep(regroup(state.df, tuples, self.n_measures, weight_type(state.bound)))
+        self._hot = (None, None)
+        self._left, self._right = self.left_keys(b), self.right_keys(b)
+        owner, exprs = self._owner(self.parts[0], b)
+        counts = self._counts(b, self._stats(b, self._left, self._right))
+        return state, exprs if owner is not None else None, counts
+
+    def _measure_range(self, i: int) -> Counts | None:
+        """Counts a join whose further condition is one comparison, by running sums; None
+        if it is not, or if later joins read columns of its right side."""
+        b = self.chain.joins[i]
+        found = comparison(self.chain, b)
+        alive = set().union(*(p.alive() for p in self.parts)) if self.parts else set()
+        later = self.chain.needed_after(i, alive | {b.pos}, mixed=True)
+        if found is None or any(r.alias == b.join.alias for r in later):
+            return None
+        value, op, right_col = found
+        if self.chain.pos[value.alias.lower()] not in alive:
+            return None
+        state, exprs, counts = self._profile_joint(i)
+        if exprs is None:
+            return None
+        keys = [f"k{n}" for n in range(len(exprs))]
+        x = self.chain.physical(value)
+        type_ = common_type(state.df.schema[x].dataType, b.join.df.schema[right_col].dataType)
+        measures = measure_names(self.n_measures)
+        owned = state.df.select("*", *self._cast(b, exprs, "k"), quoted(x).cast(type_).alias("v"))
+        left = owned.groupBy(*keys, "v").agg(F.sum(W).alias("lw"), F.count(F.lit(1)).alias("lt"),
+                                             *[F.sum(m).alias(m) for m in measures])
+        right = b.join.df.select(*self._cast(b, [quoted(c) for c in b.right], "k"),
+                                 quoted(right_col).cast(type_).alias("v"))
+        right = right.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("rw"))
+        both = range_matches(left, right, keys, op, measures, self.partitions)
         last = i == len(self.chain.joins) - 1
+        if not last:
+            both = self.shelf.hold(both)
+        hit = "hits > 0 AND lw > 0"
+        times = {"left": "greatest(hits, 1)", "full": "greatest(hits, 1)", "semi": "1", "anti": "1"}.get(b.how, "hits")
+        kept = {"left": "true", "full": "true", "anti": f"NOT ({hit})"}.get(b.how, hit)
+        sums = [f"sum(CAST(lw AS {BIG}) * CAST(hits AS {BIG}))", f"sum(lw) FILTER (WHERE {hit})",
+                "sum(rw) FILTER (WHERE found > 0)", f"max(hits) FILTER (WHERE {hit})", "sum(lt)", "max(lt)"]
+        sums += [f"sum({m} * {times}) FILTER (WHERE {kept})" for m in measures]
+        got = both.agg(*[F.expr(e).alias(f"a{n}") for n, e in enumerate(sums)]).first()
+        inner, matched, right_met, most = (int(v or 0) for v in got[:4])
+        unmatched, right_rest = counts.rows_before - matched, counts.n_rows - right_met
+        counts.rows_after = {
+            "inner": inner, "left": inner + unmatched, "right": inner + right_rest,
+            "full": inner + unmatched + right_rest, "semi": matched, "anti": unmatched}[b.how]
+        counts.matched, counts.one_per_key = matched, None
+        counts.measures = [tuple(got[6 + 2 * m:8 + 2 * m]) for m in range(self.n_measures)]
+        if not b.right:
+            counts.left_max_dup = counts.left_max_dup_non_null = None
+        needed = {self.chain.physical(r) for r in later}
+        cols = [c for c in state.df.columns if c in needed]
+        factor = both.where(F.expr(hit)).select(*keys, "v", F.col("hits").alias(W))
+        how = {"right": "inner", "full": "left", "semi": "inner", "anti": "left"}.get(b.how, b.how)
+        if b.how in ("semi", "anti"):
+            factor = factor.withColumn(W, F.lit(1 if b.how == "semi" else 0))
+        names = [f"__{c}" for c in [*keys, "v"]]
+        pairs = list(zip(names, [*keys, "v"]))
+        hot = self._hot_keys(both, [*keys, "v"], "lt", got[5], got[4])
+        df = combine(owned.withColumnsRenamed(dict(zip([*keys, "v"], names))), factor, pairs, how, cols,
+                     self.n_measures, weight_type(state.bound * max(1, most)), hot_left=hot)
+        if b.how == "anti":
+            df = df.where(F.col(W) > 0)
+        if not last:
+            df = self.shelf.keep(df)
+        self.parts = [Part(Node(state.inputs, df, state.bound * max(1, most), mixed=state.mixed))]
+        if b.how in ("right", "full") and right_rest > 0:
+            rest = self.spark.range(1).select(F.lit(right_rest).cast("bigint").alias(W))
+            self.parts.append(Part(Node({b.pos}, self._no_measures(rest), right_rest)))
+        return counts
+
+    def _measure_real(self, i: int) -> Counts:
+        """Counts a join whose condition compares both sides beyond key equality: the
+        distinct tuples the condition reads are joined, with their weights."""
+        b = self.chain.joins[i]
+        last = i == len(self.chain.joins) - 1
+        state, exprs, counts = self._profile_joint(i)
         keys = bool(b.right)
-        state.df = regroup(state.df, [c for c in state.df.columns if c != W and c not in
-                                      measure_names(self.n_measures)],
-                           self.n_measures, weight_type(state.bound))
-        state.df = self.shelf.keep(state.df)
-        owner, exprs = self._owner(self.parts[0], b)
-        stats = None
-        self._left = self.left_keys(b)
-        self._right = self.right_keys(b)
-        self._row = {"r_max": 1, "n_rows": 0}
-        stats = self._stats(b, self._left, self._right)
-        counts = self._counts(b, stats)
 
         alive = state.inputs | {b.pos}
         mixed = state.mixed or b.how in ("right", "full")
@@ -619,7 +688,7 @@ class Forest:
         left = self.chain.as_structs(left, list(b.residual_left))
         cond = F.expr(b.join.residual)
         pairs = []
-        if keys and owner is not None:
+        if keys and exprs is not None:
             left = left.withColumns({f"__k{n}": e for n, e in enumerate(exprs)})
             pairs = [(f"__k{n}", self.chain.physical(Ref(b.join.alias, c))) for n, c in enumerate(b.right)]
         elif keys:

@@ -8,6 +8,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names for checkpoints, if it names one."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 class Shelf:
     """Holds the intermediate frames of one audit.
 
@@ -19,7 +24,7 @@ class Shelf:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+        folder = checkpoint_folder(spark)
         self.folder = f"{folder.rstrip('/')}/grainwise-{uuid.uuid4().hex}" if folder else None
         self._held: list[DataFrame] = []
         self._written = 0
