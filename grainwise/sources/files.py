@@ -6,7 +6,6 @@ import csv
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +62,6 @@ def load_folder(spark: SparkSession, folder: str,
         name = sanitize_name(file.rsplit(".", 1)[0])
         try:
             out.tables[name] = read_table(spark, path, (schemas or {}).get(name))
-        except PySparkException as e:
+        except Exception as e:  # readers raise whatever their format does
             out.errors.append(f"{file}: {str(e).splitlines()[0]}")
     return out
