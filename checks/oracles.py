@@ -154,6 +154,9 @@ ORACLES: dict[str, str] = {
     "steps_range_per_key": steps("customer c", [
         J("LEFT", "LEFT JOIN supplier s ON c.c_nationkey = s.s_nationkey AND s.s_acctbal > c.c_acctbal",
           "c.c_nationkey", "supplier", "s_nationkey", equi=False)]),
+    "steps_or": steps("customer c", [
+        J("LEFT", "LEFT JOIN events e ON c.c_custkey = e.user_id OR e.event_id = c.c_nationkey"),
+        J("INNER", "JOIN orders o ON c.c_custkey = o.o_custkey", "c.c_custkey", "orders", "o_custkey")]),
     "steps_right": steps("lineitem l", [
         J("RIGHT", "RIGHT JOIN orders o ON l.l_orderkey = o.o_orderkey", "l.l_orderkey", "orders",
           "o_orderkey"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from grainwise import (
     Agg, Join, JoinChain, audit, audit_query, audit_sections, exact_duplicates, keep_latest, key_stats,
-    next_month, pre_aggregate, register_functions, top_keys)
+    next_month, pre_aggregate, register_functions, rewrite_chain, top_keys)
 from grainwise.sources import (
     load_folder, query_row_count, register_tables, sample_chain, sample_coverage, validate_sample)
 
@@ -127,6 +127,13 @@ def steps_range_per_key(t):
              residual="s.s_acctbal > c.c_acctbal")]))
 
 
+@query
+def steps_or(t):
+    return steps(JoinChain(t.customer, "c", [
+        Join(t.events, "e", "left", residual="c.c_custkey = e.user_id OR e.event_id = c.c_nationkey"),
+        Join(t.orders, "o", on=[("c.c_custkey", "o_custkey")])]))
+
+
 @query
 def steps_right(t):
     return steps(JoinChain(t.lineitem, "l", [
@@ -320,8 +327,6 @@ def rewrite_preaggregate(t):
     result = audit(customer_orders_events(
         t, select=["c.c_mktsegment"], aggs=[Agg("sum", "o.o_totalprice"), Agg("sum", "e.value")]),
         fixes=False, exact_duplicates=False)
-    from grainwise import rewrite_chain
-
     fixed = rewrite_chain(rewrite_chain(result.chain, 0, "preaggregate"), 1, "preaggregate")
     return fixed.to_df().groupBy("c_mktsegment").agg(
         F.round(F.sum("o_totalprice"), 2).alias("revenue"), F.count(F.lit(1)).alias("customers"))

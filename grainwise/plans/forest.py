@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainwise.plans.alternatives import alternatives, met_rows, with_hits
 from grainwise.plans.ranges import common_type, comparison, range_matches
 from grainwise.plans.spec import BoundChain, BoundJoin, Ref, quoted
 from grainwise.plans.storage import Shelf
@@ -217,7 +218,7 @@ class Forest:
         """Counts join ``i`` with one aggregate over the key counts of both sides."""
         b = self.chain.joins[i]
         if b.reads_left:
-            return self._measure_range(i) or self._measure_real(i)
+            return self._measure_range(i) or self._measure_any(i) or self._measure_real(i)
         last = i == len(self.chain.joins) - 1
         self._hot = (None, None)
         left, right = self.left_keys(b), self.right_keys(b)
@@ -591,7 +592,8 @@ class Forest:
         state = self._joint(i)
         self.parts = [Part(state)]
         tuples = [c for c in state.df.columns if c != W and c not in measure_names(self.n_measures)]
-        state.df = self.shelf.keep(regroup(state.df, tuples, self.n_measures, weight_type(state.bound)))
+        df = regroup(state.df, tuples, self.n_measures, weight_type(state.bound))
+        state.df = self.shelf.keep(df.where(F.col(W) > 0))  # an anti join leaves weights of 0
         self._hot = (None, None)
         self._left, self._right = self.left_keys(b), self.right_keys(b)
         owner, exprs = self._owner(self.parts[0], b)
@@ -602,16 +604,12 @@ class Forest:
         """Counts a join whose further condition is one comparison, by running sums; None
         if it is not, or if later joins read columns of its right side."""
         b = self.chain.joins[i]
-        found = comparison(self.chain, b)
-        alive = set().union(*(p.alive() for p in self.parts)) if self.parts else set()
-        later = self.chain.needed_after(i, alive | {b.pos}, mixed=True)
-        if found is None or any(r.alias == b.join.alias for r in later):
+        found, later = comparison(self.chain, b), self._left_only(i)
+        if found is None or later is None:
             return None
         value, op, right_col = found
-        if self.chain.pos[value.alias.lower()] not in alive:
-            return None
         state, exprs, counts = self._profile_joint(i)
-        if exprs is None:
+        if exprs is None or self.chain.physical(value) not in state.df.columns:
             return None
         keys = [f"k{n}" for n in range(len(exprs))]
         x = self.chain.physical(value)
@@ -628,21 +626,10 @@ class Forest:
         if not last:
             both = self.shelf.hold(both)
         hit = "hits > 0 AND lw > 0"
-        times = {"left": "greatest(hits, 1)", "full": "greatest(hits, 1)", "semi": "1", "anti": "1"}.get(b.how, "hits")
-        kept = {"left": "true", "full": "true", "anti": f"NOT ({hit})"}.get(b.how, hit)
-        sums = [f"sum(CAST(lw AS {BIG}) * CAST(hits AS {BIG}))", f"sum(lw) FILTER (WHERE {hit})",
-                "sum(rw) FILTER (WHERE found > 0)", f"max(hits) FILTER (WHERE {hit})", "sum(lt)", "max(lt)"]
-        sums += [f"sum({m} * {times}) FILTER (WHERE {kept})" for m in measures]
+        sums = [*self._hit_sums(b, "lw"), "sum(rw) FILTER (WHERE found > 0)", "sum(lt)", "max(lt)"]
         got = both.agg(*[F.expr(e).alias(f"a{n}") for n, e in enumerate(sums)]).first()
-        inner, matched, right_met, most = (int(v or 0) for v in got[:4])
-        unmatched, right_rest = counts.rows_before - matched, counts.n_rows - right_met
-        counts.rows_after = {
-            "inner": inner, "left": inner + unmatched, "right": inner + right_rest,
-            "full": inner + unmatched + right_rest, "semi": matched, "anti": unmatched}[b.how]
-        counts.matched, counts.one_per_key = matched, None
-        counts.measures = [tuple(got[6 + 2 * m:8 + 2 * m]) for m in range(self.n_measures)]
-        if not b.right:
-            counts.left_max_dup = counts.left_max_dup_non_null = None
+        right_rest = self._count_hits(b, counts, got, counts.n_rows - int(got[-3] or 0))
+        most = int(got[2] or 0)
         needed = {self.chain.physical(r) for r in later}
         cols = [c for c in state.df.columns if c in needed]
         factor = both.where(F.expr(hit)).select(*keys, "v", F.col("hits").alias(W))
@@ -651,17 +638,97 @@ class Forest:
             factor = factor.withColumn(W, F.lit(1 if b.how == "semi" else 0))
         names = [f"__{c}" for c in [*keys, "v"]]
         pairs = list(zip(names, [*keys, "v"]))
-        hot = self._hot_keys(both, [*keys, "v"], "lt", got[5], got[4])
+        hot = self._hot_keys(both, [*keys, "v"], "lt", got[-1], got[-2])
         df = combine(owned.withColumnsRenamed(dict(zip([*keys, "v"], names))), factor, pairs, how, cols,
                      self.n_measures, weight_type(state.bound * max(1, most)), hot_left=hot)
         if b.how == "anti":
             df = df.where(F.col(W) > 0)
+        self._replace_state(b, state, df, most, right_rest, last)
+        return counts
+
+    def _hit_sums(self, b: BoundJoin, w: str) -> list[str]:
+        """SQL sums over tuples with weight ``w`` and ``hits``: joined rows, rows with a match,
+        most hits, then the measures after the join."""
+        hit = f"hits > 0 AND {w} > 0"
+        times = {"left": "greatest(hits, 1)", "full": "greatest(hits, 1)", "semi": "1", "anti": "1"}.get(b.how, "hits")
+        kept = {"left": "true", "full": "true", "anti": f"NOT ({hit})"}.get(b.how, hit)
+        return [f"sum(CAST({w} AS {BIG}) * CAST(hits AS {BIG}))", f"sum({w}) FILTER (WHERE {hit})",
+                f"max(hits) FILTER (WHERE {hit})",
+                *[f"sum({m} * {times}) FILTER (WHERE {kept})" for m in measure_names(self.n_measures)]]
+
+    def _count_hits(self, b: BoundJoin, counts: Counts, got, right_rest: int) -> int:
+        """Fills in what the sums of :meth:`_hit_sums` say."""
+        inner, matched = int(got[0] or 0), int(got[1] or 0)
+        unmatched = counts.rows_before - matched
+        counts.rows_after = {
+            "inner": inner, "left": inner + unmatched, "right": inner + right_rest,
+            "full": inner + unmatched + right_rest, "semi": matched, "anti": unmatched}[b.how]
+        counts.matched, counts.one_per_key = matched, None
+        counts.measures = [tuple(got[3 + 2 * m:5 + 2 * m]) for m in range(self.n_measures)]
+        if not b.right:
+            counts.left_max_dup = counts.left_max_dup_non_null = None
+        return right_rest
+
+    def _replace_state(self, b: BoundJoin, state: Node, df: DataFrame, most: int, right_rest: int,
+                       last: bool) -> None:
         if not last:
             df = self.shelf.keep(df)
         self.parts = [Part(Node(state.inputs, df, state.bound * max(1, most), mixed=state.mixed))]
         if b.how in ("right", "full") and right_rest > 0:
             rest = self.spark.range(1).select(F.lit(right_rest).cast("bigint").alias(W))
             self.parts.append(Part(Node({b.pos}, self._no_measures(rest), right_rest)))
+
+    def _left_only(self, i: int) -> set[Ref] | None:
+        """What later joins read, unless that includes the right side of join ``i``."""
+        b = self.chain.joins[i]
+        alive = set().union(*(p.alive() for p in self.parts)) if self.parts else set()
+        later = self.chain.needed_after(i, alive | {b.pos}, mixed=True)
+        return None if any(r.alias == b.join.alias for r in later) else later
+
+    def _measure_any(self, i: int) -> Counts | None:
+        """Counts a join whose further condition is equalities joined by OR; None if it is
+        not, or if later joins read columns of its right side."""
+        b = self.chain.joins[i]
+        found, later = alternatives(self.chain, b), self._left_only(i)
+        if found is None or later is None:
+            return None
+        state, exprs, counts = self._profile_joint(i)
+        lefts = [self.chain.physical(r) for r, _ in found]
+        if exprs is None or not set(lefts) <= set(state.df.columns):
+            return None
+        keys, n = [f"k{m}" for m in range(len(exprs))], len(found)
+        owned = state.df.select("*", *self._cast(b, exprs, "k"),
+                                *[quoted(c).alias(f"x{j}") for j, c in enumerate(lefts)])
+        right = b.join.df.select(*self._cast(b, [quoted(c) for c in b.right], "k"),
+                                 *[quoted(c).alias(f"y{j}") for j, (_, c) in enumerate(found)])
+
+        def find_hot(df: DataFrame, cols: list[str]) -> Hot | None:
+            sizes = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("size")).dropna(subset=cols)
+            worst, total = sizes.agg(F.max("size"), F.sum("size")).first()
+            return self._hot_keys(sizes, cols, "size", worst, total)
+
+        hits = with_hits(owned, right, keys, n, find_hot if counts.rows_before > self.hot_floor
+                         else lambda df, cols: None)
+        last = i == len(self.chain.joins) - 1
+        if not last:
+            hits = self.shelf.keep(hits)
+        got = hits.agg(*[F.expr(e).alias(f"a{m}") for m, e in enumerate(self._hit_sums(b, W))]).first()
+        rest = 0
+        if b.how in ("right", "full"):
+            met = met_rows(owned, right, keys, n, find_hot if counts.n_rows > self.hot_floor
+                           else lambda df, cols: None)
+            rest = counts.n_rows - int(met.first()[0])
+        self._count_hits(b, counts, got, rest)
+        most = int(got[2] or 0)
+        type_ = weight_type(state.bound * max(1, most))
+        times = {"left": "greatest(hits, 1)", "full": "greatest(hits, 1)", "semi": "if(hits > 0, 1, 0)",
+                 "anti": "if(hits > 0, 0, 1)"}.get(b.how, "hits")
+        df = hits.withColumns({c: F.expr(f"{c} * {times}") for c in measure_names(self.n_measures)}
+                              | {W: F.expr(f"CAST({W} AS {type_}) * CAST({times} AS {type_})").cast(type_)})
+        needed = {self.chain.physical(r) for r in later}
+        df = regroup(df.where(F.col(W) > 0), [c for c in state.df.columns if c in needed],
+                     self.n_measures, type_)
+        self._replace_state(b, state, df, most, rest, last)
         return counts
 
     def _measure_real(self, i: int) -> Counts:

@@ -92,6 +92,16 @@ def test_using_repeatedly(abc, spark, how):
     assert chain.to_df().columns.count("k") == 1
 
 
+def test_rows_removed_below_a_left_join_match_nothing(abc, spark):
+    a, b, c = abc
+    b = b.withColumn("j", F.lit(10))
+    gone = spark.createDataFrame([("x",), ("y",), ("z",)], "s string")
+    check(JoinChain(a, "a", [Join(b, "b", "left", on=[("a.k", "k")]), Join(gone, "g", "anti", on=[("b.s", "s")]),
+                             Join(c, "c", "cross"),
+                             Join(b, "e", "right", on=[("a.j", "j"), ("b.k", "k")],
+                                  residual="e.s = 'y' OR c.n = e.j")]))
+
+
 def test_natural(abc, spark):
     a, b, _ = abc
     r = check(JoinChain(a, "a", [Join(b, "b", natural=True)]))
