@@ -9,7 +9,7 @@ rows that share a key) are never built.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -110,6 +110,7 @@ class Forest:
         self._left: DataFrame | None = None
         self._right: DataFrame | None = None
         self._hot: tuple[Hot | None, Hot | None] = (None, None)
+        self._next: Callable[[], list[Part]] | None = None
         self._owners: list[tuple[Part, Node | None, list[str]]] = []
 
         needed = sorted({r.column for r in chain.needed_after(-1, {0})})
@@ -338,7 +339,9 @@ class Forest:
     def advance(self, i: int, counts: Counts) -> None:
         """Replaces the state by the state after join ``i``."""
         b = self.chain.joins[i]
-        if not b.reads_left:
+        if b.reads_left:
+            self.parts = self._next()
+        else:
             parts = [p for p, owner, exprs in self._owners if self._apply(p, owner, exprs, b)]
             if b.how in ("right", "full") and self._row["r_rest"] > 0:
                 parts.append(self._unmatched_right(b))
@@ -630,20 +633,21 @@ class Forest:
         got = both.agg(*[F.expr(e).alias(f"a{n}") for n, e in enumerate(sums)]).first()
         right_rest = self._count_hits(b, counts, got, counts.n_rows - int(got[-3] or 0))
         most = int(got[2] or 0)
-        needed = {self.chain.physical(r) for r in later}
-        cols = [c for c in state.df.columns if c in needed]
-        factor = both.where(F.expr(hit)).select(*keys, "v", F.col("hits").alias(W))
-        how = {"right": "inner", "full": "left", "semi": "inner", "anti": "left"}.get(b.how, b.how)
-        if b.how in ("semi", "anti"):
-            factor = factor.withColumn(W, F.lit(1 if b.how == "semi" else 0))
-        names = [f"__{c}" for c in [*keys, "v"]]
-        pairs = list(zip(names, [*keys, "v"]))
-        hot = self._hot_keys(both, [*keys, "v"], "lt", got[-1], got[-2])
-        df = combine(owned.withColumnsRenamed(dict(zip([*keys, "v"], names))), factor, pairs, how, cols,
-                     self.n_measures, weight_type(state.bound * max(1, most)), hot_left=hot)
-        if b.how == "anti":
-            df = df.where(F.col(W) > 0)
-        self._replace_state(b, state, df, most, right_rest, last)
+
+        def state_after() -> DataFrame:
+            needed = {self.chain.physical(r) for r in later}
+            cols = [c for c in state.df.columns if c in needed]
+            factor = both.where(F.expr(hit)).select(*keys, "v", F.col("hits").alias(W))
+            how = {"right": "inner", "full": "left", "semi": "inner", "anti": "left"}.get(b.how, b.how)
+            if b.how in ("semi", "anti"):
+                factor = factor.withColumn(W, F.lit(1 if b.how == "semi" else 0))
+            names = {c: f"__{c}" for c in [*keys, "v"]}
+            hot = self._hot_keys(both, [*keys, "v"], "lt", got[-1], got[-2])
+            df = combine(owned.withColumnsRenamed(names), factor, [(n, c) for c, n in names.items()], how,
+                         cols, self.n_measures, weight_type(state.bound * max(1, most)), hot_left=hot)
+            return df.where(F.col(W) > 0) if b.how == "anti" else df
+
+        self._next = lambda: self._state_parts(b, state, state_after(), most, right_rest)
         return counts
 
     def _hit_sums(self, b: BoundJoin, w: str) -> list[str]:
@@ -669,14 +673,12 @@ class Forest:
             counts.left_max_dup = counts.left_max_dup_non_null = None
         return right_rest
 
-    def _replace_state(self, b: BoundJoin, state: Node, df: DataFrame, most: int, right_rest: int,
-                       last: bool) -> None:
-        if not last:
-            df = self.shelf.keep(df)
-        self.parts = [Part(Node(state.inputs, df, state.bound * max(1, most), mixed=state.mixed))]
+    def _state_parts(self, b: BoundJoin, state: Node, df: DataFrame, most: int, right_rest: int) -> list[Part]:
+        parts = [Part(Node(state.inputs, df, state.bound * max(1, most), mixed=state.mixed, scan=False))]
         if b.how in ("right", "full") and right_rest > 0:
             rest = self.spark.range(1).select(F.lit(right_rest).cast("bigint").alias(W))
-            self.parts.append(Part(Node({b.pos}, self._no_measures(rest), right_rest)))
+            parts.append(Part(Node({b.pos}, self._no_measures(rest), right_rest)))
+        return parts
 
     def _left_only(self, i: int) -> set[Ref] | None:
         """What later joins read, unless that includes the right side of join ``i``."""
@@ -720,15 +722,18 @@ class Forest:
             rest = counts.n_rows - int(met.first()[0])
         self._count_hits(b, counts, got, rest)
         most = int(got[2] or 0)
-        type_ = weight_type(state.bound * max(1, most))
-        times = {"left": "greatest(hits, 1)", "full": "greatest(hits, 1)", "semi": "if(hits > 0, 1, 0)",
-                 "anti": "if(hits > 0, 0, 1)"}.get(b.how, "hits")
-        df = hits.withColumns({c: F.expr(f"{c} * {times}") for c in measure_names(self.n_measures)}
-                              | {W: F.expr(f"CAST({W} AS {type_}) * CAST({times} AS {type_})").cast(type_)})
-        needed = {self.chain.physical(r) for r in later}
-        df = regroup(df.where(F.col(W) > 0), [c for c in state.df.columns if c in needed],
-                     self.n_measures, type_)
-        self._replace_state(b, state, df, most, rest, last)
+
+        def state_after() -> DataFrame:
+            type_ = weight_type(state.bound * max(1, most))
+            times = {"left": "greatest(hits, 1)", "full": "greatest(hits, 1)", "semi": "if(hits > 0, 1, 0)",
+                     "anti": "if(hits > 0, 0, 1)"}.get(b.how, "hits")
+            df = hits.withColumns({c: F.expr(f"{c} * {times}") for c in measure_names(self.n_measures)}
+                                  | {W: F.expr(f"CAST({W} AS {type_}) * CAST({times} AS {type_})").cast(type_)})
+            needed = {self.chain.physical(r) for r in later}
+            return regroup(df.where(F.col(W) > 0), [c for c in state.df.columns if c in needed],
+                           self.n_measures, type_)
+
+        self._next = lambda: self._state_parts(b, state, state_after(), most, rest)
         return counts
 
     def _measure_real(self, i: int) -> Counts:
@@ -771,7 +776,7 @@ class Forest:
             df = self.shelf.keep(df)
         got = df.agg(F.sum(F.col(W).cast(BIG)), *[F.sum(m) for m in measure_names(self.n_measures)]).first()
         rows = int(got[0] or 0)
-        self.parts = [Part(Node(alive, df, max(1, rows), mixed=mixed))]
+        self._next = lambda: [Part(Node(alive, df, max(1, rows), mixed=mixed))]
         return Counts(
             rows_before=counts.rows_before, rows_after=rows,
             left_max_dup=counts.left_max_dup if keys else None,
