@@ -333,7 +333,7 @@ class Forest:
             *[F.col(k).alias(f"h{n}") for n, k in enumerate(keys)]).dropna()
         # fewer rows than partitions, by the choice of `limit`
         hot = self.spark.createDataFrame(found.collect(), found.schema)
-        return Hot(hot, min(self.partitions, -(-int(worst) // limit) + 1))
+        return Hot(hot, min(self.partitions, -(-int(worst) // limit) + 1), limit)
 
     # -- applying a join ---------------------------------------------------------
     def advance(self, i: int, counts: Counts) -> None:

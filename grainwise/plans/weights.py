@@ -23,14 +23,30 @@ LONG_MAX = 2**63 - 1
 
 @dataclass(frozen=True)
 class Hot:
-    """Keys that hold too many tuples for one task.
+    """Keys that hold more than ``limit`` tuples, too many for one task.
 
     ``keys`` has columns ``h0..`` and at most one row per shuffle partition, because
-    a key is listed only if it exceeds the mean partition size.
+    ``limit`` is no less than the mean partition size.
     """
 
     keys: DataFrame
     ways: int
+    limit: int
+
+    def mark(self, df: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+        """Joins the list, whose size is bounded, to ``df``; cold rows get NULLs."""
+        return df.join(F.broadcast(self.keys), equal(list(zip(keys, self.keys.columns))), how)
+
+    def salt(self, df: DataFrame) -> Column:
+        """A salt that depends on nothing but the row's values, so a retry repeats it."""
+        return F.pmod(F.xxhash64(*map(quoted, df.columns)), F.lit(self.ways)).cast("int")
+
+    def spreads(self, df: DataFrame, keys: Sequence[str]) -> bool:
+        """Whether the salts cut every hot key into small groups; copies of one tuple
+        share a salt.  Counts hot rows per key and salt, after combining in each task."""
+        hot = self.mark(df.withColumn("__m", self.salt(df)), keys, "inner")
+        sizes = hot.groupBy(*self.keys.columns, "__m").agg(F.count(F.lit(1)).alias("n"))
+        return (sizes.agg(F.max("n")).first()[0] or 0) <= 2 * self.limit
 
 
 def weight_type(bound: int) -> str:
@@ -61,18 +77,12 @@ def salted(many: DataFrame, few: DataFrame, many_keys: Sequence[str], few_keys:
            hot: Hot) -> tuple[DataFrame, DataFrame]:
     """Spread the tuples of hot keys over ``hot.ways`` salts ``__m``, and copy the rows of
     ``few`` (one per key) for those keys to every salt ``__f``."""
-    hot_cols = hot.keys.columns
-
-    def marked(df, keys):
-        # bounded by the partition count, see Hot
-        return df.join(F.broadcast(hot.keys), equal(list(zip(keys, hot_cols))), "left")
-
-    spread = F.pmod(F.xxhash64(*map(quoted, many.columns)), F.lit(hot.ways)).cast("int")
-    is_hot = F.col(hot_cols[0]).isNotNull()
-    many = marked(many, many_keys).withColumn("__m", F.when(is_hot, spread).otherwise(F.lit(0)))
+    is_hot = F.col(hot.keys.columns[0]).isNotNull()
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(hot.ways - 1))).otherwise(F.array(F.lit(0)))
-    few = marked(few, few_keys).withColumn("__f", F.explode(copies))
-    return many.drop(*hot_cols), few.drop(*hot_cols)
+    salt = F.when(is_hot, F.col("__m")).otherwise(F.lit(0))
+    many = hot.mark(many.withColumn("__m", hot.salt(many)), many_keys, "left").withColumn("__m", salt)
+    few = hot.mark(few, few_keys, "left").withColumn("__f", F.explode(copies))
+    return many.drop(*hot.keys.columns), few.drop(*hot.keys.columns)
 
 
 def combine(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str,
@@ -100,12 +110,14 @@ def combine(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]],
     right = right.withColumnRenamed(W, "__rw")
     if hot_left is not None:
         tuples = [c for c in left.columns if c not in (W, *measure_names(measures))]
-        left = regroup(left, tuples, measures, type_)  # distinct tuples, so the salt spreads
+        if not hot_left.spreads(left, l_keys):
+            left = regroup(left, tuples, measures, type_)
         left, right = salted(left, right, l_keys, r_keys, hot_left)
         on = on & (F.col("__m") == F.col("__f"))
     elif hot_right is not None:
         tuples = [c for c in right.columns if c != "__rw"]
-        right = right.groupBy(*map(quoted, tuples)).agg(F.sum("__rw").alias("__rw"))
+        if not hot_right.spreads(right, r_keys):
+            right = right.groupBy(*map(quoted, tuples)).agg(F.sum("__rw").alias("__rw"))
         right, left = salted(right, left, r_keys, l_keys, hot_right)
         on = on & (F.col("__m") == F.col("__f"))
 
