@@ -194,6 +194,8 @@ ORACLES: dict[str, str] = {
         J("LEFT", "LEFT JOIN orders o ON e.user_id = o.o_custkey", "e.user_id", "orders", "o_custkey"),
         LINEITEM,
         J("INNER", "JOIN documents d ON e.event_id = d.doc_id", "e.event_id", "documents", "doc_id")], HOT),
+    "steps_hot_self_join": steps("hot e", [
+        J("INNER", "JOIN hot f ON e.user_id = f.user_id", "e.user_id", "hot", "user_id")], HOT),
     "joined_rows": f"SELECT o_orderkey, o_custkey, c_name, l_linenumber, l_quantity FROM {O_C_L}",
     "key_stats_tables": " UNION ALL ".join(key_row(name, keys) for name, keys in {
         "orders": "o_orderkey", "customer": "c_nationkey", "supplier": "s_nationkey",

@@ -207,6 +207,12 @@ def steps_hot_key(t):
         Join(t.documents, "d", on=[("e.event_id", "doc_id")])]), hot_floor=100)
 
 
+@query
+def steps_hot_self_join(t):
+    """Both sides repeat a key that holds a third of all rows."""
+    return steps(JoinChain(hot_events(t), "e", [Join(hot_events(t), "f", on=[("e.user_id", "user_id")])]))
+
+
 @query
 def joined_rows(t):
     return orders_customer_lineitem(t).to_df().select(
