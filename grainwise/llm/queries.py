@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainwise.llm import decontaminate, mixing, sharding, simhash, toxicity
+from grainwise.llm import decontaminate, line_dedup, lm, mixing, neighbours, quality, sharding, simhash, token_counts, toxicity
 from grainwise.llm.common import keep, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,17 +78,44 @@ FROM steps
 """
 
 
+@query
+def op2_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), lm.FOLDS) == lm.HELD_OUT
+    scored = lm.score(docs, lm.learn(docs, lm.training_fold("doc_id")))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Every occurrence of a benchmark passage in a document."""
     return decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The histogram of encoded lengths with the answers for every context limit."""
+    docs = table(spark, folder, "documents").select("text")
+    return token_counts.histogram(token_counts.with_length(docs, token_counts.read_ranks()))
+
+
+@query
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, relax=6.0)
+
+
 @query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), words=3, bits=3)
 
 
+@query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: its lines, those that stay, and the checksum of the text that is left."""
+    cut = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "lines", "kept_lines", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 @query
 def op8_shard(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -103,3 +130,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, folder, "labels"))
     held_out = remainder(F.col("doc_id"), toxicity.FOLDS) == 0
     return toxicity.toxicity(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    weak, scorer = quality.learn(docs)
+    return quality.quality(docs, weak, scorer).select("doc_id", "weak_label", "score", "keep")
