@@ -19,7 +19,7 @@ from grainwise.llm.common import attach, keep
 #: Multiplier of the generator that draws the jumps (fixed value of the published method).
 MULTIPLIER = np.uint64(2862933555777941757)
 #: Rows that one task numbers.
-SLOT_ROWS = 50_000
+SLOT_ROWS = 10_000
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
