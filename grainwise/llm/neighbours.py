@@ -108,17 +108,17 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     rows = keep(vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"),
                                F.coalesce(is_query, F.lit(False)).alias("asks"))
                 .where(F.col("id").isNotNull()).where(usable(F.col("v"))).groupBy("id", "v").agg(F.max("asks").alias("asks")))
-    queries = rows.where("asks").select("id", "v")
+    number = F.row_number().over(Window.partitionBy("id").orderBy("v"))
+    queries = rows.where("asks").select("id", "v", number.alias("copy"))
     n, asked = rows.count(), rows.where("asks").count()
     shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(asked / BLOCK_QUERIES))
 
     def every(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    number = F.row_number().over(Window.partitionBy("id").orderBy("v"))
     left = rows.select("id", "v", F.size("v").alias("width"), F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"),
                        every(blocks).alias("block"))
-    right = queries.select(F.col("id"), F.col("v"), number.alias("copy"), F.size("v").alias("width"),
+    right = queries.select(F.col("id"), F.col("v"), "copy", F.size("v").alias("width"),
                            F.pmod(F.xxhash64("v", "id"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
 
     def search(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:

@@ -232,5 +232,5 @@ def quality(docs: DataFrame, weak: WeakLabels, scorer: Scorer, text_col: str = "
                              "score": [scorer.score(t) for t in texts]}, dtype="float64")
 
     bare = docs.drop("weak_label", "score", "keep")
-    judged = bare.select("*", judge(binary(text_col)).alias("_judged"))
-    return judged.select(*bare.columns, "_judged.weak_label", "_judged.score", (F.col("_judged.score") >= 0.5).cast("int").alias("keep"))
+    judged = bare.select(F.struct(*bare.columns).alias("doc"), judge(binary(text_col)).alias("judged"))
+    return judged.select("doc.*", "judged.weak_label", "judged.score", (F.col("judged.score") >= 0.5).cast("int").alias("keep"))

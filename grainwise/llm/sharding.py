@@ -62,15 +62,13 @@ def shard_rows(df: DataFrame, key: str = "doc_id", shards: int = 16, tie: list[s
     kind = df.schema[key].dataType.simpleString()
     by = F.col(key) if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key)
     tie = [c for c in df.columns if c != key] if tie is None else tie
-    total = df.count()
-    buckets = max(1, math.ceil(total / shards / SLOT_ROWS))
-    placed = (df.withColumn("shard", shard_of(by, shards)).withColumn("grown_shard", shard_of(by, shards + 1))
-              .withColumn("_tie", F.xxhash64(key, *tie)))
-    placed = placed.withColumn("_bucket", F.pmod(F.col("_tie"), F.lit(buckets)).cast("int"))
-    counts = placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keep(counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
-    order = Window.partitionBy("shard", "_bucket").orderBy(F.col(key).asc_nulls_last(), "_tie")
-    numbered = attach(placed, starts, ["shard", "_bucket"])
-    slot = F.col("_start") + F.row_number().over(order) - 1
-    return numbered.withColumn("slot", slot.cast("bigint")).drop("_bucket", "_tie", "_start")
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(key).alias("key"), by.alias("by"), F.xxhash64(key, *tie).alias("tie"))
+    buckets = max(1, math.ceil(df.count() / shards / SLOT_ROWS))
+    placed = rows.select("row", "key", "tie", shard_of(F.col("by"), shards).alias("shard"), shard_of(F.col("by"), shards + 1).alias("grown_shard"),
+                         F.pmod(F.col("tie"), F.lit(buckets)).cast("int").alias("bucket"))
+    counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keep(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    order = Window.partitionBy("shard", "bucket").orderBy(F.col("key").asc_nulls_last(), "tie")
+    slot = (F.col("start") + F.row_number().over(order) - 1).cast("bigint").alias("slot")
+    return attach(placed, starts, ["shard", "bucket"]).select("row.*", "shard", slot, "grown_shard")

@@ -223,16 +223,15 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     bits: int = 3) -> DataFrame:
     """One whole row of each near-duplicate group: the one with the smallest id (NULL last),
     then the smallest hash of its columns; of equal rows one."""
-    columns = docs.columns
-    hashed = docs.withColumn("_row", F.xxhash64(*columns))
-    rows = keep(hashed.select(F.col(id_col).alias("_id"), "_row", simhash(hashed[text_col], words).alias("fp")))
-    own = groups_of(rows, "_id", bits).groupBy("root", "_id", "_row").agg(F.count(F.lit(1)).alias("_n"))
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"), F.col("_n"))
-    first = keep(own.groupBy("root").agg(F.min(order).alias("f")).select("f._id", "f._row", "f._n"))
+    hashed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("row"))
+    rows = keep(hashed.select("id", "row", simhash(F.col(f"doc.`{text_col}`"), words).alias("fp")))
+    own = groups_of(rows, "id", bits).groupBy("root", "id", "row").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("id").isNull(), "id", "row", "n")
+    first = keep(own.groupBy("root").agg(F.min(order).alias("f")).select("f.id", "f.row", "f.n"))
 
     def picked(chosen: DataFrame) -> DataFrame:
-        same = hashed[id_col].eqNullSafe(chosen["_id"]) & (hashed["_row"] == chosen["_row"])
-        return hashed.join(chosen, same, "left_semi").select(*columns)
+        same = hashed["id"].eqNullSafe(chosen["id"]) & (hashed["row"] == chosen["row"])
+        return hashed.join(chosen, same, "left_semi").select("doc.*")
 
-    kept, repeated = picked(first.where("_n = 1")), first.where("_n > 1")
+    kept, repeated = picked(first.where("n = 1")), first.where("n > 1")
     return kept if repeated.isEmpty() else kept.union(picked(repeated).dropDuplicates())

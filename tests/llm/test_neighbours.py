@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from grainwise.llm import neighbours as N
 
-FIFTIETH = F.col("vec_id") % 50 == 0
+
+def nearest(frame, **options):
+    return N.nearest(frame, F.col("vec_id") % 50 == 0, **options)
 
 
 def brute(rows, k=5, is_query=lambda i: i % 50 == 0):
@@ -31,14 +33,14 @@ def test_factor_one_is_exact(spark, small, monkeypatch):
     monkeypatch.setattr(N, "LEAF_POINTS", 16)
     frame = spark.read.parquet(f"{small}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in frame.collect()]
-    compare(N.nearest(frame, FIFTIETH).collect(), brute(rows))
+    compare(nearest(frame).collect(), brute(rows))
 
 
 def test_relaxed_search_keeps_recall(spark, small, monkeypatch):
     monkeypatch.setattr(N, "LEAF_POINTS", 16)
     frame = spark.read.parquet(f"{small}/embeddings.parquet")
     want = {w[:3:2] for w in brute([(r.vec_id, r.embedding) for r in frame.collect()])}
-    got = {(r.query_id, r.vec_id) for r in N.nearest(frame, FIFTIETH, relax=6.0).collect()}
+    got = {(r.query_id, r.vec_id) for r in nearest(frame, relax=6.0).collect()}
     assert len(got & want) >= 0.9 * len(want)
 
 
@@ -67,14 +69,14 @@ def test_ties_unusable_vectors_and_repeats(spark):
             (300, [None, 1.0]), (350, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (400, [1e-200, 1e-200]), (450, [1e200, -1e200]), (500, [])]
     rows += [(i, [3.0, 0.0]) for i in range(1, 40)] + [(7, [3.0, 0.0])] * 30
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("score", F.lit("old"))
-    got = N.nearest(frame, FIFTIETH).collect()
+    got = nearest(frame).collect()
     by = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         by.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
     assert by[0] == [(i, 1.0) for i in range(1, 6)]
     assert set(by) == {0, 50, 400, 450} and by[400][0] == (0, round(2**-0.5, 9))
-    assert N.nearest(frame.limit(0), FIFTIETH).count() == 0
-    assert N.nearest(frame.where("vec_id in (0, 350)"), FIFTIETH).count() == 0
+    assert nearest(frame.limit(0)).count() == 0
+    assert nearest(frame.where("vec_id in (0, 350)")).count() == 0
 
 
 @pytest.mark.parametrize("shards", [1, 7])
@@ -82,4 +84,4 @@ def test_floats_and_few_candidates(spark, shards, monkeypatch):
     monkeypatch.setattr(N, "SHARD_ROWS", max(1, 6 // shards))
     rows = [(i, [float(i % 3) + 0.5, 1.0, float(i)]) for i in (0, 1, 2, 50)]
     frame = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
-    compare(N.nearest(frame, FIFTIETH).collect(), brute(rows))
+    compare(nearest(frame).collect(), brute(rows))

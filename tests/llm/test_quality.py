@@ -7,7 +7,8 @@ from grainwise.llm import quality as Q
 
 
 def test_labellers_find_their_noise():
-    prose = "The rain that fell on the town was not what people had hoped for. " * 6
+    rng = random.Random(3)
+    prose = ". ".join("The " + " ".join(rng.choices([f"word{i}" for i in range(300)], k=9)) for _ in range(12)) + "."
     assert Q.BAD not in Q.digits(np.array([Q.votes(prose.encode())]))
     for junk in ("buy*** now&&& cheap%%% deals$$$ ", "WIN!! A!! PRIZE!! NOW!! ", "home | news | shop | about | ", "spam " * 8):
         assert (Q.digits(np.array([Q.votes((junk * 6).encode())])) == Q.BAD).sum() >= 2
