@@ -69,6 +69,9 @@ EVENTS = J("LEFT", "LEFT JOIN events e ON c.c_custkey = e.user_id", "c.c_custkey
 HOT = ("WITH hot AS (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS user_id) "
        "FROM events) ")
 
+TEXTED = ("WITH texted AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN lpad(user_id::VARCHAR, 12, '0') "
+          "ELSE user_id::VARCHAR END AS user_text FROM events) ")
+
 
 def key_row(table: str, keys: str, source: str | None = None) -> str:
     nulls = " OR ".join(f"{k} IS NULL" for k in keys.split(", "))
@@ -157,6 +160,40 @@ ORACLES: dict[str, str] = {
     "steps_or": steps("customer c", [
         J("LEFT", "LEFT JOIN events e ON c.c_custkey = e.user_id OR e.event_id = c.c_nationkey"),
         J("INNER", "JOIN orders o ON c.c_custkey = o.o_custkey", "c.c_custkey", "orders", "o_custkey")]),
+    "agg_inflation_exact": """
+WITH o AS (SELECT o_custkey, o_orderkey::HUGEINT * 1000003 + 9007199254740992 AS large, o_totalprice::DECIMAL(20,6) AS price FROM orders),
+j AS (SELECT o.* FROM o LEFT JOIN events ON o_custkey = user_id),
+v AS (SELECT 0 AS n, sum(large)::VARCHAR AS large, sum(price)::VARCHAR AS price, count(price) AS c, count(*) AS r FROM o
+  UNION ALL SELECT 1, sum(large)::VARCHAR, sum(price)::VARCHAR, count(price), count(*) FROM j)
+SELECT 'SUM(o.large)' AS expression, max(large) FILTER (WHERE n = 0) AS base_exact, max(large) FILTER (WHERE n = 1) AS joined_exact FROM v
+UNION ALL SELECT 'SUM(o.price)', max(price) FILTER (WHERE n = 0), max(price) FILTER (WHERE n = 1) FROM v
+UNION ALL SELECT 'COUNT(o.price)', max(c::VARCHAR) FILTER (WHERE n = 0), max(c::VARCHAR) FILTER (WHERE n = 1) FROM v
+UNION ALL SELECT 'COUNT(*)', max(r::VARCHAR) FILTER (WHERE n = 0), max(r::VARCHAR) FILTER (WHERE n = 1) FROM v""",
+    "steps_mixed_key_types": steps("customer c", [
+        J("LEFT", "LEFT JOIN texted e ON c.c_custkey = CAST(e.user_text AS BIGINT)", "c.c_custkey", "texted", "user_text"),
+        J("INNER", "JOIN orders o ON CAST(e.user_text AS BIGINT) = o.o_custkey", "CAST(e.user_text AS BIGINT)", "orders", "o_custkey"),
+        J("FULL", "FULL JOIN supplier s ON CAST(e.user_text AS BIGINT) = s.s_suppkey", "CAST(e.user_text AS BIGINT)", "supplier",
+          "s_suppkey")], TEXTED),
+    "key_stats_mixed_types": TEXTED + """
+SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_keys, max(n) AS max_dup, max(n) FILTER (WHERE user_text IS NOT NULL) AS max_dup_non_null,
+  count(*) FILTER (WHERE n > 1) AS dup_keys, coalesce(sum(n) FILTER (WHERE user_text IS NULL), 0)::BIGINT AS null_rows
+FROM (SELECT user_text, count(*) AS n FROM texted GROUP BY user_text)""",
+    "steps_or_mixed_types": steps("customer c", [
+        J("LEFT", "LEFT JOIN texted e ON c.c_custkey = CAST(e.user_text AS BIGINT) OR c.c_nationkey = e.event_id"),
+        J("INNER", "JOIN orders o ON c.c_custkey = o.o_custkey", "c.c_custkey", "orders", "o_custkey")], TEXTED),
+    "steps_or_five": steps("customer c", [
+        J("LEFT", "LEFT JOIN events e ON c.c_custkey = e.user_id OR e.event_id = c.c_nationkey OR c.c_custkey = e.event_id "
+                  "OR c.c_nationkey = e.user_id OR e.event_id = c.c_acctbal"),
+        J("INNER", "JOIN orders o ON c.c_custkey = o.o_custkey", "c.c_custkey", "orders", "o_custkey")]),
+    "steps_or_then_right_side": steps("customer c", [
+        J("FULL", "FULL JOIN events e ON c.c_custkey = e.user_id OR e.event_id = c.c_nationkey"),
+        J("INNER", "JOIN orders o ON e.user_id = o.o_custkey", "e.user_id", "orders", "o_custkey")]),
+    "steps_range_then_right_side": steps("customer c", [
+        J("LEFT", "LEFT JOIN supplier s ON s.s_acctbal <= c.c_acctbal"),
+        J("INNER", "JOIN nation n ON s.s_nationkey = n.n_nationkey", "s.s_nationkey", "nation", "n_nationkey")]),
+    "steps_interval": steps("customer c", [
+        J("RIGHT", "RIGHT JOIN supplier s ON c.c_acctbal >= s.s_acctbal AND c.c_acctbal < s.s_acctbal + 250"),
+        J("LEFT", "LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey", "s.s_nationkey", "nation", "n_nationkey")]),
     "steps_right": steps("lineitem l", [
         J("RIGHT", "RIGHT JOIN orders o ON l.l_orderkey = o.o_orderkey", "l.l_orderkey", "orders",
           "o_orderkey"),

@@ -134,6 +134,66 @@ def steps_or(t):
         Join(t.orders, "o", on=[("c.c_custkey", "o_custkey")])]))
 
 
+def text_events(t: Tables) -> DataFrame:
+    """Events whose user is stored as text, every other one with leading zeros."""
+    text = F.col("user_id").cast("string")
+    return t.events.select("event_id", F.when(F.col("event_id") % 2 == 0, F.lpad(text, 12, "0")).otherwise(text).alias("user_text"))
+
+
+@query
+def steps_mixed_key_types(t):
+    return steps(JoinChain(t.customer, "c", [
+        Join(text_events(t), "e", "left", on=[("c.c_custkey", "user_text")], name="events"),
+        Join(t.orders, "o", on=[("e.user_text", "o_custkey")]),
+        Join(t.supplier, "s", "full", on=[("e.user_text", "s_suppkey")])]))
+
+
+@query
+def key_stats_mixed_types(t):
+    """Keys of the right side are counted as stored, matches as compared."""
+    chain = JoinChain(t.customer, "c", [Join(text_events(t), "e", on=[("c.c_custkey", "user_text")], name="events")])
+    return audit(chain, fixes=False, exact_duplicates=False).key_stats.select(
+        "n_rows", "n_keys", "max_dup", "max_dup_non_null", "dup_keys", "null_rows")
+
+
+@query
+def steps_or_mixed_types(t):
+    return steps(JoinChain(t.customer, "c", [
+        Join(text_events(t), "e", "left", residual="c.c_custkey = e.user_text OR c.c_nationkey = e.event_id", name="events"),
+        Join(t.orders, "o", on=[("c.c_custkey", "o_custkey")])]))
+
+
+@query
+def steps_or_five(t):
+    return steps(JoinChain(t.customer, "c", [
+        Join(t.events, "e", "left", residual="c.c_custkey = e.user_id OR e.event_id = c.c_nationkey OR c.c_custkey = e.event_id "
+             "OR c.c_nationkey = e.user_id OR e.event_id = c.c_acctbal"),
+        Join(t.orders, "o", on=[("c.c_custkey", "o_custkey")])]))
+
+
+@query
+def steps_or_then_right_side(t):
+    return steps(JoinChain(t.customer, "c", [
+        Join(t.events, "e", "full", residual="c.c_custkey = e.user_id OR e.event_id = c.c_nationkey"),
+        Join(t.orders, "o", on=[("e.user_id", "o_custkey")])]))
+
+
+@query
+def steps_range_then_right_side(t):
+    return steps(JoinChain(t.customer, "c", [
+        Join(t.supplier, "s", "left", residual="s.s_acctbal <= c.c_acctbal"),
+        Join(t.nation, "n", on=[("s.s_nationkey", "n_nationkey")])]))
+
+
+@query
+def steps_interval(t):
+    """Validity intervals: a value between two columns of the right side, one end open."""
+    spans = t.supplier.select("s_nationkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 250).alias("high"))
+    return steps(JoinChain(t.customer, "c", [
+        Join(spans, "s", "right", residual="c.c_acctbal >= s.low AND c.c_acctbal < s.high", name="supplier"),
+        Join(t.nation, "n", "left", on=[("s.s_nationkey", "n_nationkey")])]))
+
+
 @query
 def steps_right(t):
     return steps(JoinChain(t.lineitem, "l", [
@@ -339,6 +399,16 @@ def rewrite_preaggregate(t):
 
 
 # -- aggregates --------------------------------------------------------------------
+@query
+def agg_inflation_exact(t):
+    """Sums of large integers and of decimals, digit by digit."""
+    keyed = t.orders.select("o_custkey", (F.col("o_orderkey") * 1_000_003 + (1 << 53)).alias("large"),
+                            F.col("o_totalprice").cast("decimal(20,6)").alias("price"))
+    chain = JoinChain(keyed, "o", [Join(t.events, "e", "left", on=[("o.o_custkey", "user_id")])],
+                      aggs=[Agg("sum", "o.large"), Agg("sum", "o.price"), Agg("count", "o.price"), Agg("count")])
+    return audit(chain, fixes=False, exact_duplicates=False).agg_risks.select("expression", "base_exact", "joined_exact")
+
+
 @query
 def agg_inflation(t):
     return risks(customer_orders_events(t, aggs=[

@@ -51,7 +51,7 @@ class Step:
 
 
 def audit(chain: JoinChain, section: str = MAIN, *, fixes: bool = True, exact_duplicates: bool = True,
-          hot_floor: int = 1_000_000) -> AuditResult:
+          hot_floor: int = 10_000) -> AuditResult:
     """Measures every join of ``chain`` on the full tables.
 
     Each join costs one aggregate over the key counts of both sides, whose single row
@@ -137,7 +137,7 @@ FIXES = ("section string, step int, rank int, kind string, title string, why str
          "verified_rows bigint, verified_factor double, restores_grain boolean")
 RISKS = ("section string, expression string, kind string, columns array<string>, "
          "affected_joins array<int>, base_value double, joined_value double, inflation_pct double, "
-         "note string")
+         "note string, base_exact string, joined_exact string")
 SECTIONS = ("section string, joins int, fanouts int, driving_rows bigint, final_rows bigint, "
             "overall_factor double, error string")
 TOP_KEYS = "section string, step int, key map<string,string>, rows_per_key bigint"
@@ -222,7 +222,7 @@ class AuditResult:
     def agg_risks(self) -> DataFrame:
         return self.spark.createDataFrame([
             (self.section, r.expression, r.kind, r.columns, r.affected_joins, r.base_value,
-             r.joined_value, r.inflation_pct, r.note) for r in self.risk_list], RISKS)
+             r.joined_value, r.inflation_pct, r.note, r.base_exact, r.joined_exact) for r in self.risk_list], RISKS)
 
     @property
     def sections(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ class Risk:
     joined_value: float | None
     inflation_pct: float | None
     note: str
+    base_exact: str | None = None
+    joined_exact: str | None = None
 
 
 def aliases_of(chain: BoundChain, agg: Agg) -> tuple[set[int], bool]:
@@ -50,50 +53,75 @@ def measure_columns(chain: BoundChain) -> tuple[list[Agg], list[Column]]:
     distinct = list({a.expr: a for a in aggs}.values())
     # COUNT only needs to know which values are NULL
     counted = {a.expr for a in aggs if a.kind != "count"}
-    return distinct, [F.expr(a.expr) if a.expr in counted else F.when(F.expr(a.expr).isNotNull(), 0.0)
+    return distinct, [F.expr(a.expr) if a.expr in counted else F.when(F.expr(a.expr).isNotNull(), 0)
                       for a in distinct]
 
 
+# What is said of an affected aggregate.
+NOTES = {"sum": "Values of repeated rows are added more than once.", "avg": "Repeated rows weigh more than others.",
+         "rows": "Copies are counted as rows.", "other": "Repeated rows change the value."}
+
+
+def repeated_inputs(chain: BoundChain, steps: list) -> dict[int, set[int]]:
+    """Per input position, the numbers of the joins that repeat its rows.
+
+    A join that multiplies rows repeats what was joined before or after it, and its own
+    right side only if both sides repeat the key."""
+    found: dict[int, set[int]] = {p: set() for p in range(len(chain.inputs))}
+    for s in (s for s in steps if s.fanout):
+        own = s.index + 1
+        for p in found.keys() - (set() if s.cardinality == "many-to-many" else {own}):
+            found[p].add(own)
+    return found
+
+
+def measured(agg: Agg, steps: list, pairs: dict[str, tuple]) -> tuple:
+    """The aggregate before and after the joins; ``pairs`` holds, per expression, (sum,
+    non-NULL count) at either end."""
+    if agg.expr is None:
+        return steps[0].rows_before, steps[-1].rows_after
+    return tuple(_value(agg.kind, pair) for pair in pairs[agg.expr])
+
+
 def risks_of(chain: BoundChain, steps: list, base: list[tuple], joined: list[tuple],
              carried: list[Agg]) -> list[Risk]:
-    """``steps`` offers ``index, fanout, cardinality, rows_*``; ``base`` and ``joined`` hold
-    (sum, non-NULL count) per carried expression."""
-    fans = [s for s in steps if s.fanout]
-    if not fans:
+    """The aggregates that repeated rows change; ``base`` and ``joined`` hold (sum, non-NULL
+    count) per carried expression."""
+    repeats = repeated_inputs(chain, steps)
+    if not any(repeats.values()):
         return []
-    at = {a.expr: n for n, a in enumerate(carried)}
-    out = []
-    for agg in chain.chain.aggs:
-        if agg.kind in SAFE or agg.distinct:
-            continue
-        inputs, unqualified = aliases_of(chain, agg)
-        affected = [s.index + 1 for s in fans
-                    if not inputs or unqualified
-                    or any(p != s.index + 1 or s.cardinality == "many-to-many" for p in inputs)]
-        if not affected:
-            continue
-        before = after = pct = None
-        if quantified(chain, agg):
-            if agg.expr is None:
-                before, after = float(steps[0].rows_before), float(steps[-1].rows_after)
-            else:
-                n = at[agg.expr]
-                before, after = _value(agg.kind, base[n]), _value(agg.kind, joined[n])
-            if before and after is not None:
-                pct = (after / before - 1) * 100
-        note = {"sum": "Values of repeated rows are added more than once.",
-                "avg": "Repeated rows weigh more than others."}.get(agg.kind)
-        if note is None:
-            note = ("Copies are counted as rows." if agg.kind == "count" and agg.expr is None
-                    else "Repeated rows change the value.")
-        out.append(Risk(agg.text, agg.kind, chain.agg_columns(agg), affected, before, after, pct, note))
-    return out
-
-
-def _value(kind: str, pair: tuple) -> float | None:
+    pairs = {a.expr: (base[n], joined[n]) for n, a in enumerate(carried)}
+    return [_risk(chain, agg, sorted(joins), *(measured(agg, steps, pairs) if quantified(chain, agg) else (None, None)))
+            for agg in chain.chain.aggs if agg.kind not in SAFE and not agg.distinct
+            for joins in [_joins_of(chain, agg, repeats)] if joins]
+
+
+def _joins_of(chain: BoundChain, agg: Agg, repeats: dict[int, set[int]]) -> set[int]:
+    """Joins that repeat what the aggregate reads: rows of any input if it names none."""
+    inputs, unqualified = aliases_of(chain, agg)
+    return set().union(*(repeats[p] for p in (inputs if inputs and not unqualified else repeats)))
+
+
+def _risk(chain: BoundChain, agg: Agg, joins: list[int], before, after) -> Risk:
+    pct = float((after / before - 1) * 100) if before and after is not None else None
+    rows = agg.kind == "count" and agg.expr is None
+    return Risk(agg.text, agg.kind, chain.agg_columns(agg), joins, _number(before), _number(after), pct,
+                NOTES["rows"] if rows else NOTES.get(agg.kind, NOTES["other"]), _exact(before), _exact(after))
+
+
+def _number(value) -> float | None:
+    return None if value is None else float(value)
+
+
+def _exact(value) -> str | None:
+    """Sums of integers and decimals, and counts, digit by digit; None for floating point."""
+    return None if value is None or isinstance(value, float) else format(value, "f") if isinstance(value, Decimal) else str(value)
+
+
+def _value(kind: str, pair: tuple):
     total, count = pair
     if kind == "count":
-        return float(count or 0)
+        return int(count or 0)
     if not count:
         return None
-    return total if kind == "sum" else total / count
+    return total if kind == "sum" else float(total) / float(count)

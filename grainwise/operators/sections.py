@@ -95,14 +95,16 @@ def audit_sections(chains: Mapping[str, JoinChain], **options) -> QueryResult:
 
 
 def _run(todo: list[tuple[str, JoinChain]], options: dict) -> QueryResult:
+    """One part per section.  It takes one measured section to make a result; without any,
+    the first section that has joins tells why."""
     parts: list[tuple[str, AuditResult | None, str | None]] = []
-    for label, chain in todo:
+    failure = "No joins in the query or its CTEs."
+    for label, chain in reversed(todo):
         try:
-            parts.append((label, audit(chain, label, **options), None))
+            parts.insert(0, (label, audit(chain, label, **options), None))
         except AuditError as e:
-            parts.append((label, None, str(e)))
-    if not any(r for _, r, _ in parts):
-        joined = {label for label, chain in todo if chain.joins}
-        real = [e for label, _, e in parts if label in joined]
-        raise AuditError(real[0] if real else "No joins in the query or its CTEs.")
+            parts.insert(0, (label, None, str(e)))
+            failure = str(e) if chain.joins else failure
+    if all(result is None for _, result, _ in parts):
+        raise AuditError(failure)
     return QueryResult(todo[0][1].driving.sparkSession, parts)

@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 from grainwise.plans.spec import BoundChain, BoundJoin, Ref, quoted
 from grainwise.plans.weights import Hot, equal, salted
 
+#: Beyond, combinations are too many, and joining per alternative is cheaper (pairs.py).
 MAX_ALTERNATIVES = 4
 _EQUALITY = re.compile(r"\(?\s*(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)\s*\)?")
 
 FindHot = Callable[[DataFrame, Sequence[str]], Hot | None]
 
 
-def alternatives(chain: BoundChain, b: BoundJoin) -> list[tuple[Ref, str]] | None:
+def alternatives(chain: BoundChain, b: BoundJoin, most: int | None = MAX_ALTERNATIVES) -> list[tuple[Ref, str]] | None:
     """``(left column, right column)`` per alternative, if the further condition of ``b`` is
-    nothing but equalities between the sides joined by OR."""
+    nothing but up to ``most`` equalities between the sides joined by OR."""
     out = []
     own = b.join.alias.lower()
     for text in re.split(r"\s+OR\s+", (b.join.residual or "").strip(), flags=re.IGNORECASE):
@@ -36,7 +37,7 @@ def alternatives(chain: BoundChain, b: BoundJoin) -> list[tuple[Ref, str]] | Non
         if column is None:
             return None
         out.append((ref, column))
-    return out if len(out) <= MAX_ALTERNATIVES else None
+    return out if most is None or len(out) <= most else None
 
 
 def subsets(n: int) -> Iterator[tuple[int, ...]]:

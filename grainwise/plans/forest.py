@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from decimal import Context, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,13 +19,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.plans.alternatives import alternatives, met_rows, with_hits
+from grainwise.plans.pairs import without_pairs
 from grainwise.plans.ranges import common_type, comparison, range_matches
 from grainwise.plans.spec import BoundChain, BoundJoin, Ref, quoted
 from grainwise.plans.storage import Shelf
 from grainwise.plans.weights import (
-    LONG_MAX, W, Hot, combine, equal, measure_names, regroup, weight_type)
+    BIG, LONG_MAX, W, Hot, combine, compared_type, equal, measure_names, regroup, weight_type)
 
-BIG = "decimal(38,0)"
+#: Arithmetic on sums that the driver adds up.
+EXACT = Context(prec=60)
+
+
+def exact_measure(value: Column, type_: T.DataType) -> tuple[str, int | None, Column]:
+    """How a measured value is carried: integers and decimals as whole numbers of their
+    smallest unit with that scale, so that no product or sum rounds; others as doubles."""
+    if isinstance(type_, T.DecimalType):
+        # beyond 38 digits in the smallest unit the cast fails instead of rounding
+        units = value.cast(f"decimal(38,{type_.scale})") * F.lit(Decimal(10) ** type_.scale).cast(f"decimal({type_.scale + 1},0)")
+        return BIG, type_.scale, units.cast(BIG)
+    if isinstance(type_, T.IntegralType):
+        return BIG, 0, value.cast(BIG)
+    return "double", None, value.cast("double")
 
 
 @dataclass
@@ -100,7 +115,7 @@ class Forest:
     """Walks a chain join by join: :meth:`measure` counts a join, :meth:`advance` applies it."""
 
     def __init__(self, chain: BoundChain, shelf: Shelf, measures: list[Column] = (),
-                 hot_floor: int = 1_000_000):
+                 hot_floor: int = 10_000):
         self.chain, self.shelf, self.spark = chain, shelf, shelf.spark
         self.n_measures = len(measures)
         self.hot_floor = hot_floor
@@ -112,16 +127,21 @@ class Forest:
         self._hot: tuple[Hot | None, Hot | None] = (None, None)
         self._next: Callable[[], list[Part]] | None = None
         self._owners: list[tuple[Part, Node | None, list[str]]] = []
+        self._types: dict[tuple[int, int], str | None] = {}
 
         needed = sorted({r.column for r in chain.needed_after(-1, {0})})
         alias, df = chain.inputs[0]
         driving = df.alias(alias)
         cols = [quoted(c).alias(chain.physical(Ref(alias, c))) for c in needed]
         cols.append(F.lit(1).cast("bigint").alias(W))
+        self.measure_types: list[str] = []
+        self._scales: list[int | None] = []  # None: floating point
         for m, value in enumerate(measures):
-            value = value.cast("double")
+            type_, scale, value = exact_measure(value, driving.select(value).schema[0].dataType)
+            self.measure_types += [type_, BIG]
+            self._scales.append(scale)
             cols.append(value.alias(f"__s{m}"))
-            cols.append(F.when(value.isNotNull(), 1.0).otherwise(0.0).alias(f"__c{m}"))
+            cols.append(F.when(value.isNotNull(), 1).otherwise(0).cast(BIG).alias(f"__c{m}"))
         self.parts = [Part(Node({0}, driving.select(*cols), LONG_MAX))]
 
     # -- keys of a join ----------------------------------------------------------
@@ -155,11 +175,19 @@ class Forest:
         return self.chain.inputs[self.chain.pos[first.alias.lower()]][1].schema[first.column].dataType
 
     def _key_type(self, b: BoundJoin, n: int) -> str | None:
-        """A common type when both sides are integers of different width, so that the
-        grouping and the join share one partitioning."""
-        integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-        lt, rt = self._left_type(b, n), b.join.df.schema[b.right[n]].dataType
-        return "bigint" if lt != rt and isinstance(lt, integral) and isinstance(rt, integral) else None
+        """The type in which the join compares key ``n``, if the sides' types differ: both
+        sides are grouped and joined in it, so that equal keys are one row on each side."""
+        at = (b.index, n)
+        if at not in self._types:
+            self._types[at] = compared_type(self.spark, self._left_type(b, n), b.join.df.schema[b.right[n]].dataType)
+        return self._types[at]
+
+    def _merging(self, b: BoundJoin) -> bool:
+        """Whether several values of a side may be one key; integers of any width stay apart."""
+        def whole(n: int) -> bool:
+            return all(isinstance(t, T.IntegralType) for t in (self._left_type(b, n), b.join.df.schema[b.right[n]].dataType))
+
+        return any(self._key_type(b, n) and not whole(n) for n in range(len(b.right)))
 
     def _cast(self, b: BoundJoin, exprs: list[Column], name: str) -> list[Column]:
         return [e.alias(f"{name}{n}") for n, e in enumerate(self._plain(b, exprs))]
@@ -182,13 +210,13 @@ class Forest:
             df = self._folded(part, owner)
             df = df.select(*self._cast(b, exprs, "k"), W,
                            *(measure_names(self.n_measures) if owner is part.root else
-                             [F.lit(None).cast("double").alias(m) for m in measure_names(self.n_measures)]))
+                             self._null_measures()))
             frames.append(df)
         if not frames:
             right = b.join.df.select(*self._cast(b, [quoted(c) for c in b.right], "k"))
             frames = [right.where(F.lit(False)).withColumns(
                 {W: F.lit(0).cast("bigint"),
-                 **{m: F.lit(None).cast("double") for m in measure_names(self.n_measures)}})]
+                 **dict(zip(measure_names(self.n_measures), self._null_measures()))})]
         df = reduce(DataFrame.unionByName, frames)
         type_ = weight_type(sum(LONG_MAX + 1 if p.root.edges else p.root.bound for p in self.parts))
         return df.groupBy(*keys).agg(
@@ -200,8 +228,23 @@ class Forest:
         df = (b.join.df if df is None else df).alias(b.join.alias)
         ok = self._right_condition(b)
         keys = [f"q{n}" for n in range(len(b.right))]
-        df = df.select(*self._cast(b, [quoted(c) for c in b.right], "q"), ok.alias("ok"))
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("r"))
+        counts = F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("r")
+        if not self._merging(b):
+            df = df.select(*self._cast(b, [quoted(c) for c in b.right], "q"), ok.alias("ok"))
+            return df.groupBy(*keys).agg(*counts)
+        # the profile is that of the stored values, so these are counted first
+        raw = [F.col(f"raw{n}") for n in range(len(keys))]
+        df = df.select(*[quoted(c).alias(f"raw{n}") for n, c in enumerate(b.right)], ok.alias("ok"))
+        return (df.groupBy(*raw).agg(*counts).select(*self._cast(b, raw, "q"), "n", "r").groupBy(*keys)
+                .agg(F.sum("n").alias("n"), F.sum("r").alias("r"), F.count(F.lit(1)).alias("kn"),
+                     F.max("n").alias("kmax"), F.count_if(F.col("n") > 1).alias("kdup"), F.count_if(F.col("r") > 0).alias("kr")))
+
+    def _null_measures(self) -> list[Column]:
+        return [F.lit(None).cast(t).alias(m) for m, t in zip(measure_names(self.n_measures), self.measure_types)]
+
+    def _scaled(self, sums: list[tuple]) -> list[tuple]:
+        """(sum, count) pairs with the sums in their own units."""
+        return [(s if s is None or scale is None else Decimal(s).scaleb(-scale, EXACT), c) for (s, c), scale in zip(sums, self._scales)]
 
     def _right_condition(self, b: BoundJoin) -> Column:
         """The part of the condition that reads the right side alone, as true or false."""
@@ -245,6 +288,8 @@ class Forest:
         def each(template: str, word: str, empty: str) -> str:
             return f" {word} ".join(template.format(n) for n in nk) or empty
 
+        # stored values per key of the right side; one each unless the sides' types differ
+        kn, kmax, kdup, kr = ("kn", "kmax", "kdup", "kr") if "kn" in right.columns else ("if(n IS NULL, 0, 1)", "n", "if(n > 1, 1, 0)", "1")
         both = self.matched_keys(b, left, right).selectExpr(
             "*", "coalesce(lw, 0) AS l", "coalesce(n, 0) AS n0", "coalesce(r, 0) AS r0",
             "coalesce(lw > 0 AND r > 0, false) AS hit",
@@ -254,13 +299,13 @@ class Forest:
         aggs = {
             "l_rows": "sum(l)", "l_max": "max(l)", "l_max_nn": "max(l) FILTER (WHERE l_full)",
             "l_null": "sum(l) FILTER (WHERE l_null)", "l_tuples": "sum(lt)",
-            "l_hot": "max(lt) FILTER (WHERE l_full)",
-            "n_rows": "sum(n)", "n_keys": "count(n)", "max_dup": "max(n)",
-            "max_dup_nn": "max(n) FILTER (WHERE r_full)", "dup_keys": "count_if(n > 1)",
+            "l_hot": "max(lt) FILTER (WHERE l_full)", "r_hot": "max(n) FILTER (WHERE r_full)", "n_rows": "sum(n)",
+            "n_keys": f"sum({kn})", "max_dup": f"max({kmax})", "max_dup_nn": f"max({kmax}) FILTER (WHERE r_full)",
+            "dup_keys": f"sum({kdup})", "one": f"sum(l * {kr}) FILTER (WHERE hit)",
             "null_rows": "sum(n) FILTER (WHERE NOT r_full)",
             "matched": "sum(l) FILTER (WHERE hit)", "r_max": "max(r) FILTER (WHERE hit)",
             "inner": f"sum(CAST(l AS {BIG}) * CAST(r0 AS {BIG})) FILTER (WHERE hit)",
-            "r_rest": "sum(if(l > 0, n0 - r0, n0))", "r_rest_keys": "count_if(n IS NOT NULL AND l = 0)",
+            "r_rest": "sum(if(l > 0, n0 - r0, n0))", "r_rest_keys": f"sum({kn}) FILTER (WHERE l = 0)",
         }
         times = {"semi": "if(hit, 1, 0)", "anti": "if(hit, 0, 1)", "left": "if(hit, r0, 1)",
                  "full": "if(hit, r0, 1)"}.get(b.how, "r0")
@@ -294,14 +339,14 @@ class Forest:
             left_max_dup_non_null=v["l_max_nn"],
             n_rows=v["n_rows"], n_keys=v["n_keys"] if b.left else None, max_dup=v["max_dup"],
             max_dup_non_null=v["max_dup_nn"], dup_keys=v["dup_keys"], null_rows=v["null_rows"],
-            one_per_key=after(v["matched"], v["r_rest_keys"]), matched=v["matched"])
+            one_per_key=after(v["one"], v["r_rest_keys"]), matched=v["matched"])
         simple = len(self._owners) == 1 and self._owners[0][1] is self._owners[0][0].root
         if self.n_measures and simple:
             got = [(row[f"bs{m}"], row[f"bc{m}"], row[f"js{m}"], row[f"jc{m}"])
                    for m in range(self.n_measures)]
             if self.base is None and b.index == 0:
-                self.base = [(s, c) for s, c, _, _ in got]
-            counts.measures = [(s, c) for _, _, s, c in got]
+                self.base = self._scaled([(s, c) for s, c, _, _ in got])
+            counts.measures = self._scaled([(s, c) for _, _, s, c in got])
         self._row = v
         self._identity = {
             "semi": unmatched == 0, "anti": v["matched"] == 0, "left": v["r_max"] <= 1,
@@ -323,7 +368,7 @@ class Forest:
             return None, None
         names = range(len(b.left))
         return (self._hot_keys(self._left, [f"k{n}" for n in names], "lt", row["l_hot"], row["l_tuples"]),
-                self._hot_keys(self._right, [f"q{n}" for n in names], "n", row["max_dup_nn"], row["n_rows"]))
+                self._hot_keys(self._right, [f"q{n}" for n in names], "n", row["r_hot"], row["n_rows"]))
 
     def _hot_keys(self, df: DataFrame, keys: list[str], size: str, worst, total) -> Hot | None:
         limit = max(1, self.hot_floor, int(total or 0) // self.partitions)
@@ -394,7 +439,7 @@ class Forest:
             owner.df = owner.df.select(*map(quoted, keep), W, *measure_names(self._m(part, owner)))
             return True
         type_ = weight_type(owner.bound * max(1, row["r_max"]))
-        if set(right_cols) <= set(key_names):
+        if set(right_cols) <= set(key_names) and not (right_cols and self._merging(b)):
             few = factor.select(*[f"q{n}" for n in range(len(keys))], F.col("r").alias(W),
                                 *[F.col(f"q{key_names.index(c)}").alias(c) for c in right_cols])
             if not keys:
@@ -456,7 +501,7 @@ class Forest:
 
     def _fixed_by_key(self, owner: Node, keep: list[str], b: BoundJoin, exprs: list[Column]) -> bool:
         """Whether everything the owner keeps is a left key of ``b``, hence one tuple per key."""
-        if owner.mixed:
+        if owner.mixed or self._merging(b):
             return not keep
         keys = {self.chain.physical(r) for c in b.left for r in c[:1]
                 if self.chain.pos[r.alias.lower()] in owner.inputs}
@@ -482,8 +527,8 @@ class Forest:
         return Part(Node({b.pos}, self._no_measures(rows), max(1, self._row["n_rows"]), scan=False))
 
     def _no_measures(self, df: DataFrame) -> DataFrame:
-        for m in range(self.n_measures):
-            df = df.withColumn(f"__s{m}", F.lit(None).cast("double")).withColumn(f"__c{m}", F.lit(0.0))
+        for name, type_ in zip(measure_names(self.n_measures), self.measure_types):
+            df = df.withColumn(name, F.lit(None if name.startswith("__s") else 0).cast(type_))
         return df
 
     # -- trees -------------------------------------------------------------------
@@ -597,10 +642,11 @@ class Forest:
         tuples = [c for c in state.df.columns if c != W and c not in measure_names(self.n_measures)]
         df = regroup(state.df, tuples, self.n_measures, weight_type(state.bound))
         state.df = self.shelf.keep(df.where(F.col(W) > 0))  # an anti join leaves weights of 0
-        self._hot = (None, None)
         self._left, self._right = self.left_keys(b), self.right_keys(b)
         owner, exprs = self._owner(self.parts[0], b)
-        counts = self._counts(b, self._stats(b, self._left, self._right))
+        row = self._stats(b, self._left, self._right)
+        counts = self._counts(b, row)
+        self._hot = self._find_hot(b, row)
         return state, exprs if owner is not None else None, counts
 
     def _measure_range(self, i: int) -> Counts | None:
@@ -668,7 +714,7 @@ class Forest:
             "inner": inner, "left": inner + unmatched, "right": inner + right_rest,
             "full": inner + unmatched + right_rest, "semi": matched, "anti": unmatched}[b.how]
         counts.matched, counts.one_per_key = matched, None
-        counts.measures = [tuple(got[3 + 2 * m:5 + 2 * m]) for m in range(self.n_measures)]
+        counts.measures = self._scaled([tuple(got[3 + 2 * m:5 + 2 * m]) for m in range(self.n_measures)])
         if not b.right:
             counts.left_max_dup = counts.left_max_dup_non_null = None
         return right_rest
@@ -699,10 +745,14 @@ class Forest:
         if exprs is None or not set(lefts) <= set(state.df.columns):
             return None
         keys, n = [f"k{m}" for m in range(len(exprs))], len(found)
-        owned = state.df.select("*", *self._cast(b, exprs, "k"),
-                                *[quoted(c).alias(f"x{j}") for j, c in enumerate(lefts)])
-        right = b.join.df.select(*self._cast(b, [quoted(c) for c in b.right], "k"),
-                                 *[quoted(c).alias(f"y{j}") for j, (_, c) in enumerate(found)])
+        types = [compared_type(self.spark, state.df.schema[c].dataType, b.join.df.schema[r].dataType)
+                 for c, (_, r) in zip(lefts, found)]
+
+        def as_compared(columns: list[str], name: str) -> list[Column]:
+            return [(quoted(c).cast(t) if t else quoted(c)).alias(f"{name}{j}") for j, (c, t) in enumerate(zip(columns, types))]
+
+        owned = state.df.select("*", *self._cast(b, exprs, "k"), *as_compared(lefts, "x"))
+        right = b.join.df.select(*self._cast(b, [quoted(c) for c in b.right], "k"), *as_compared([c for _, c in found], "y"))
 
         def find_hot(df: DataFrame, cols: list[str]) -> Hot | None:
             sizes = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("size")).dropna(subset=cols)
@@ -727,7 +777,7 @@ class Forest:
             type_ = weight_type(state.bound * max(1, most))
             times = {"left": "greatest(hits, 1)", "full": "greatest(hits, 1)", "semi": "if(hits > 0, 1, 0)",
                      "anti": "if(hits > 0, 0, 1)"}.get(b.how, "hits")
-            df = hits.withColumns({c: F.expr(f"{c} * {times}") for c in measure_names(self.n_measures)}
+            df = hits.withColumns({c: F.expr(f"{c} * {times}").cast(t) for c, t in zip(measure_names(self.n_measures), self.measure_types)}
                                   | {W: F.expr(f"CAST({W} AS {type_}) * CAST({times} AS {type_})").cast(type_)})
             needed = {self.chain.physical(r) for r in later}
             return regroup(df.where(F.col(W) > 0), [c for c in state.df.columns if c in needed],
@@ -771,7 +821,10 @@ class Forest:
         total = max(1, counts.rows_before) * max(1, counts.n_rows)
         # at least one side's weight per pair, hence no more than all pairs plus both sides
         bound = total + counts.rows_before + counts.n_rows
-        df = combine(left, right, pairs, b.how, cols, self.n_measures, weight_type(bound), condition=cond)
+        # one side's hot keys are spread and the other side copied, where that adds no rows
+        hot = {"hot_left": self._hot[0]} if b.how in ("inner", "left", "semi", "anti") else {"hot_right": self._hot[1]} if b.how == "right" else {}
+        df = combine(left, right, pairs, b.how, cols, self.n_measures, weight_type(bound), condition=cond,
+                     join=None if keys else without_pairs(self.chain, b, self.partitions), **(hot if pairs else {}))
         if not last:
             df = self.shelf.keep(df)
         got = df.agg(F.sum(F.col(W).cast(BIG)), *[F.sum(m) for m in measure_names(self.n_measures)]).first()
@@ -784,7 +837,7 @@ class Forest:
             n_rows=counts.n_rows, n_keys=counts.n_keys, max_dup=counts.max_dup,
             max_dup_non_null=counts.max_dup_non_null, dup_keys=counts.dup_keys,
             null_rows=counts.null_rows,
-            measures=[(got[1 + 2 * m], got[2 + 2 * m]) for m in range(self.n_measures)])
+            measures=self._scaled([(got[1 + 2 * m], got[2 + 2 * m]) for m in range(self.n_measures)]))
 
     def _empty_state(self) -> DataFrame:
         cols = sorted(self.chain.needed_after(-1, set(self.chain.pos.values())), key=str)
@@ -796,13 +849,12 @@ class Forest:
 
     def totals(self) -> tuple[int, list[tuple]]:
         """Rows and measures of the whole state."""
-        rows, sums = 0, [(None, 0.0)] * self.n_measures
+        rows, sums = 0, [(None, 0)] * self.n_measures
         for part in self.parts:
             df = self._fold(part.root)
             got = df.agg(F.sum(F.col(W).cast(BIG)), *[F.sum(m) for m in measure_names(self.n_measures)]).first()
             rows += int(got[0] or 0)
-            for m in range(self.n_measures):
-                s, c = got[1 + 2 * m], got[2 + 2 * m]
-                old = sums[m]
-                sums[m] = (s if old[0] is None else old[0] if s is None else old[0] + s, old[1] + (c or 0.0))
+            own = self._scaled([(got[1 + 2 * m], got[2 + 2 * m]) for m in range(self.n_measures)])
+            sums = [(s if old is None else old if s is None else EXACT.add(old, s) if isinstance(s, Decimal) else old + s, n + (c or 0))
+                    for (old, n), (s, c) in zip(sums, own)]
         return rows, sums

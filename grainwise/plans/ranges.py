@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.plans.spec import BoundChain, BoundJoin, Ref, quoted
 
-MAX_BUCKETS = 256
 _COMPARISON = re.compile(r"\s*\(?\s*(\w+)\.(\w+)\s*(<=|>=|<|>)\s*(\w+)\.(\w+)\s*\)?\s*")
-_MIRRORED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+MIRRORED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
 
 
 def comparison(chain: BoundChain, b: BoundJoin) -> tuple[Ref, str, str] | None:
@@ -24,7 +24,7 @@ def comparison(chain: BoundChain, b: BoundJoin) -> tuple[Ref, str, str] | None:
     if not found or len(b.residual_left) != 1 or len(b.residual_right) != 1:
         return None
     left, right = b.residual_left[0], b.residual_right[0]
-    op = found[3] if found[1].lower() == left.alias.lower() else _MIRRORED[found[3]]
+    op = found[3] if found[1].lower() == left.alias.lower() else MIRRORED[found[3]]
     lt = chain.inputs[chain.pos[left.alias.lower()]][1].schema[left.column].dataType
     rt = b.join.df.schema[right].dataType
     return (left, op, right) if common_type(lt, rt) else None
@@ -45,6 +45,28 @@ def common_type(a: T.DataType, b: T.DataType) -> str | None:
     return None
 
 
+def cut_points(values: DataFrame, partitions: int) -> list:
+    """Quantiles of the one column of ``values`` that cut it into a bucket per partition.  Any
+    cut points give the right result; these give even buckets."""
+    buckets = max(2, partitions)
+    probs = [n / buckets for n in range(1, buckets)]
+    name = values.columns[0]
+    cuts = values.agg(F.percentile_approx(name, probs, max(1_000, 10 * buckets))).first()[0] or []
+    return list(dict.fromkeys(cuts))
+
+
+def bucket_of(value: Column, cuts: list) -> Column:
+    """How many cut points lie below the value (NULL: none is known), found in two steps:
+    among every so-manieth point, then among those that follow."""
+    if not cuts:
+        return F.when(value.isNotNull(), F.lit(0))
+    stride = max(1, math.isqrt(len(cuts)))
+    heads, points = (F.array(*map(F.lit, x)) for x in (cuts[::stride], cuts))
+    start = F.greatest(F.size(F.filter(heads, lambda c: c < value)) - 1, F.lit(0)) * stride
+    below = F.size(F.filter(F.slice(points, start + 1, F.lit(stride)), lambda c: c < value))
+    return F.when(value.isNotNull(), (start + below).cast("int"))
+
+
 def range_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], op: str, extra: Sequence[str],
                   partitions: int) -> DataFrame:
     """Per key and value ``v``: ``lw`` left and ``rw`` right rows, ``hits`` right rows that a
@@ -54,12 +76,8 @@ def range_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], op: st
     one row per key and value.  Values are cut into buckets of about equal size, so the
     running sums of one key, or of no key at all, spread over many tasks.
     """
-    # any cut points give the right result; quantiles give even buckets
-    buckets = min(MAX_BUCKETS, max(2, partitions))
-    probs = [n / buckets for n in range(1, buckets)]
-    cuts = right.agg(F.percentile_approx("v", probs, 1_000)).first()[0] or []
-    below = F.filter(F.array(*[F.lit(c) for c in dict.fromkeys(cuts)]), lambda c: c < F.col("v"))
-    bucket = F.size(below) if cuts else F.lit(0)
+    cuts = cut_points(left.select("v").union(right.select("v")), partitions)
+    bucket = bucket_of(F.col("v"), cuts)
 
     cols = [*map(quoted, keys), F.col("v")]
     valid = reduce(lambda x, y: x & y, [c.isNotNull() for c in cols])
@@ -88,7 +106,7 @@ def range_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], op: st
                 ">=": F.col(f"{side}_all") - up_to + F.col(own)}[op]
 
     # left v `op` right value, hence the right value stands in the mirrored relation to v
-    out = both.select(*cols, *sums, matching("r", "rw", _MIRRORED[op]).alias("hits"),
+    out = both.select(*cols, *sums, matching("r", "rw", MIRRORED[op]).alias("hits"),
                       matching("l", "lw", op).alias("found"))
     rest = left.where(~valid).withColumns({"rw": F.lit(0), "hits": F.lit(0), "found": F.lit(0)})
     return out.unionByName(rest.select(*out.columns))

@@ -8,17 +8,19 @@ Joining multiplies weights, so no joined row is ever built.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainwise.plans.spec import quoted
 
 W = "__w"
 LONG_MAX = 2**63 - 1
+BIG = "decimal(38,0)"
 
 
 @dataclass(frozen=True)
@@ -51,7 +53,7 @@ class Hot:
 
 def weight_type(bound: int) -> str:
     """bigint while the weights provably fit, decimal(38,0) beyond."""
-    return "bigint" if bound <= LONG_MAX else "decimal(38,0)"
+    return "bigint" if bound <= LONG_MAX else BIG
 
 
 def measure_names(n: int) -> list[str]:
@@ -68,6 +70,14 @@ def regroup(df: DataFrame, keep: Sequence[str], measures: int, type_: str) -> Da
     return total.where(F.col(W).isNotNull())
 
 
+def compared_type(spark: SparkSession, a: T.DataType, b: T.DataType) -> str | None:
+    """The type in which Spark compares values of two types; None if they are the same."""
+    if a == b:
+        return None
+    both = spark.createDataFrame([], T.StructType([T.StructField("a", a), T.StructField("b", b)]))
+    return both.where(F.col("a") == F.col("b"))._jdf.queryExecution().analyzed().condition().left().dataType().sql()
+
+
 def equal(pairs: Sequence[tuple[str, str]]) -> Column | None:
     terms = [quoted(a) == quoted(b) for a, b in pairs]
     return reduce(lambda x, y: x & y, terms) if terms else None
@@ -87,8 +97,8 @@ def salted(many: DataFrame, few: DataFrame, many_keys: Sequence[str], few_keys:
 
 def combine(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str,
             keep: Sequence[str], measures: int, type_: str, *, condition: Column | None = None,
-            hot_left: Hot | None = None, hot_right: Hot | None = None) -> DataFrame:
-    """Join two weighted frames and regroup by ``keep``.
+            hot_left: Hot | None = None, hot_right: Hot | None = None, join: Callable | None = None) -> DataFrame:
+    """Join two weighted frames and regroup by ``keep``; ``join`` takes the place of Spark's.
 
     ``hot_left`` says that hot keys repeat on the left while the right has one row per
     key; ``hot_right`` is the mirror case.
@@ -123,7 +133,8 @@ def combine(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]],
 
     if on is None:  # no key: one side is a single row
         on = F.lit(True)
-    joined = left.join(right, on, _SPARK_HOW[how])
+    kinds = {m: (left if m in left.columns else right).schema[m].dataType.simpleString() for m in measure_names(measures)}
+    joined = (join or DataFrame.join)(left, right, on, _SPARK_HOW[how])
     if how in ("semi", "anti"):
         return regroup(joined, keep, measures, type_)
     one = F.lit(1)
@@ -133,12 +144,15 @@ def combine(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]],
     by = F.coalesce(rw, one) if how in ("left", "full") else rw
     joined = joined.withColumns({
         W: (lw * by).cast(type_),
-        **{f"__s{m}": F.col(f"__s{m}") * by.cast("double") for m in range(measures)},
-        **{f"__c{m}": F.coalesce(F.col(f"__c{m}"), F.lit(0.0)) * by.cast("double")
-           for m in range(measures)},
+        **{m: _times(F.col(m), kinds[m], by) for m in measure_names(measures)},
     })
     return regroup(joined, keep, measures, type_)
 
 
+def _times(value: Column, kind: str, by: Column) -> Column:
+    """A measure times a weight, in the measure's own type."""
+    return (value * by.cast(kind)).cast(kind)
+
+
 _SPARK_HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full",
               "semi": "left_semi", "anti": "left_anti"}

@@ -8,8 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
-
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +34,8 @@ def table(columns, rows):
 
 
 def test_every_oracle_has_a_query():
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
+    assert set(driver.oracle_sql()) <= set(driver.queries())
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"facts_json", "validate_sample_by_key"}
 

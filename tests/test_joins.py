@@ -250,3 +250,72 @@ def test_odd_column_names(spark):
     assert r.final_rows == 4 == chain.to_df().count()
     assert chain.to_df().columns == ["order id", "x.y", "order id_1", "t`q"]
     assert r.worst_key_rows(1).select(quoted("t`q")).count() == 4
+
+
+MIXED = {
+    "int and text": ([(1, 1), (2, 1), (2, 2)], "k int, x int", [("1", "a"), ("01", "b"), ("2", "c"), (None, "d")], "k string, s string"),
+    "double and bigint": ([(float(2**53), 1), (1.5, 2)], "k double, x int", [(2**53, "a"), (2**53 + 1, "b"), (7, "c")], "k bigint, s string"),
+    "text and date": ([("2024-01-05", 1), ("2024-1-5", 1), (None, 2)], "k string, x int", [(1, "a"), (1, "b")], "k int, s string"),
+}
+
+
+@pytest.mark.parametrize("how", HOWS)
+@pytest.mark.parametrize("case", MIXED)
+def test_keys_of_different_types(spark, how, case):
+    rows, left, others, right = MIXED[case]
+    a, b = spark.createDataFrame(rows, left), spark.createDataFrame(others, right)
+    if case == "text and date":
+        b = b.select(F.expr("date'2024-01-05'").alias("k"), "s")
+    c = spark.createDataFrame([(1, 1), (1, 2), (3, 3)], "x int, n int")
+    check(JoinChain(a, "a", [Join(b, "b", how, on=[("a.k", "k")]), Join(c, "c", "left", on=[("a.x", "x")])], select=["a.x"]), fixes=True)
+    check(JoinChain(b, "b", [Join(a, "a", how, on=[("b.k", "k")], residual="a.x < 2")]))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_alternatives_of_different_types(spark, how):
+    a = spark.createDataFrame([(1, 5), (2, 6)], "id int, x int")
+    b = spark.createDataFrame([("1", 5), ("01", 6), ("9", 6)], "sid string, y bigint")
+    check(JoinChain(a, "a", [Join(b, "b", how, residual="a.id = b.sid OR a.x = b.y")]))
+
+
+CONDITIONS = ["a.k = b.k OR a.j = b.m OR a.k = b.m OR a.j = b.k OR a.k = b.n", "a.k = b.k OR a.j = b.m", "a.k <= b.m", "a.k >= b.k AND a.k < b.m",
+              "a.k BETWEEN b.k AND b.m AND a.j > b.n"]
+
+
+@pytest.mark.parametrize("how", HOWS)
+@pytest.mark.parametrize("condition", CONDITIONS)
+def test_conditions_on_both_sides_without_keys(spark, how, condition):
+    a = spark.createDataFrame([(i % 7, i % 4 if i % 5 else None) for i in range(40)], "k int, j int")
+    b = spark.createDataFrame([(i % 5 if i % 6 else None, i % 9, i % 3) for i in range(25)], "k int, m bigint, n int")
+    c = spark.createDataFrame([(i % 3,) for i in range(7)], "n int")
+    later = [Join(c, "c", "left", on=[("a.k" if how in ("semi", "anti") else "b.n", "n")])]
+    check(JoinChain(a, "a", [Join(b, "b", how, residual=condition), *later]))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_semi", "left_anti"])
+def test_no_nested_loops(spark, how):
+    from grainwise.plans.pairs import Bounds, join_any, join_ranges
+    from grainwise.plans.spec import Ref
+
+    a = spark.range(50).select(F.struct(F.col("id").alias("k"), (F.col("id") % 7).alias("j")).alias("a"))
+    b = spark.range(60).select(F.struct(F.col("id").alias("k"), (F.col("id") + 5).alias("m")).alias("b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranged = join_ranges(a, b, Bounds(Ref("a", "k"), ["k"], ["m"], "bigint"), "b", F.expr("a.k >= b.k AND a.k < b.m"), how, 8)
+        either = join_any(a, b, [F.expr("a.k = b.k"), F.expr("a.j = b.m")], how)
+        for df, on in ((ranged, "a.k >= b.k AND a.k < b.m"), (either, "a.k = b.k OR a.j = b.m")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+            assert df.count() == a.join(F.broadcast(b), F.expr(on), how).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sums_keep_every_digit(spark):
+    a = spark.createDataFrame([(1, 2**53 + 1), (1, 2), (2, None)], "k int, v bigint").withColumn("d", F.expr("cast(v as decimal(30,8)) + 0.00000001"))
+    b = spark.createDataFrame([(1, i) for i in range(3)], "k int, n int")
+    r = audit(JoinChain(a, "a", [Join(b, "b", "left", on=[("a.k", "k")])], aggs=[Agg("sum", "a.v"), Agg("sum", "a.d"), Agg("avg", "a.v")]))
+    exact = {x.expression: (x.base_exact, x.joined_exact) for x in r.risk_list}
+    assert exact["SUM(a.v)"] == (str(2**53 + 3), str(3 * (2**53 + 3)))
+    assert exact["SUM(a.d)"] == (f"{2**53 + 3}.00000002", f"{3 * (2**53 + 3)}.00000006")
