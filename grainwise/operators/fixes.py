@@ -17,7 +17,6 @@ from grainwise.plans.forest import Counts, Forest
 from grainwise.plans.spec import JoinChain, quoted
 from grainwise.plans.storage import Shelf
 
-MAX_GRAIN_CANDIDATES = 3
 TOLERANCE = 1 + 1e-9
 
 
@@ -78,7 +77,7 @@ def grain_columns(chain: JoinChain, i: int, n_rows: int) -> list[str]:
             F.count(F.lit(1)).alias("c"), (F.array_position(flags, 0) - 1).alias("candidate"))
     worst = groups.groupBy("candidate").agg(F.max("c").alias("c")).collect()  # one row per candidate
     unique = {int(r["candidate"]) for r in worst if r["c"] == 1}
-    return [c for n, c in enumerate(shared) if n in unique][:MAX_GRAIN_CANDIDATES]
+    return [c for n, c in enumerate(shared) if n in unique]
 
 
 def build_fixes(chain: JoinChain, i: int, counts: Counts, forest: Forest, exact_dup_rows: int | None,

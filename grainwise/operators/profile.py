@@ -80,14 +80,19 @@ def _hashable(df: DataFrame) -> bool:
 def exact_duplicates(df: DataFrame) -> DataFrame:
     """One row ``exact_dup_rows``: rows that are copies of another row.
 
-    Equal rows have equal hashes, so a first pass shuffles 8 bytes per row and settles
-    a table without copies; only if a hash repeats are whole rows grouped.
+    Equal rows have equal hashes, so a first pass shuffles two hashes per row and settles
+    a table without copies; whole rows are grouped only where both hashes repeat.
     """
     df = groupable(df)
     spark = df.sparkSession
     if df.columns and _hashable(df):
-        by_hash = df.groupBy(F.xxhash64(*map(quoted, df.columns)).alias("h")).agg(F.count(F.lit(1)).alias("c"))
-        if (by_hash.agg(F.max("c")).first()[0] or 0) <= 1:
+        columns = [quoted(c) for c in df.columns]
+        hashes = F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+        groups = df.groupBy(hashes.alias("h")).agg(F.count(F.lit(1)).alias("c"))
+        repeated = groups.where("c > 1").select(F.col("h.a").alias("__a"), F.col("h.b").alias("__b"))
+        if repeated.isEmpty():
             return spark.range(1).select(F.lit(0).cast("bigint").alias("exact_dup_rows"))
+        df = (df.withColumns({"__a": F.xxhash64(*columns), "__b": F.xxhash64(F.lit(1), *columns)})
+              .join(repeated, ["__a", "__b"], "left_semi").drop("__a", "__b"))
     groups = df.groupBy(*map(quoted, df.columns)).agg(F.count(F.lit(1)).alias("__n"))
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0).cast("bigint")).alias("exact_dup_rows"))

@@ -45,8 +45,9 @@ def keep_latest(df: DataFrame, keys: Sequence[str], order_col: str | None = None
     """One row per key, the one with the greatest ``order_col``; the remaining columns
     break ties in column order.
 
-    An aggregate instead of a window, so a key with very many rows is reduced before
-    the shuffle and never sorted in one task.
+    An aggregate instead of a window: every task keeps one row per key (by sorting its
+    own rows, since the winner is a whole row), so a key with very many rows is reduced
+    before the shuffle.
     """
     key_set = {k.lower() for k in keys}
     rest = [c for c in df.columns if c.lower() not in key_set]
@@ -55,8 +56,9 @@ def keep_latest(df: DataFrame, keys: Sequence[str], order_col: str | None = None
         return df.select(*map(quoted, keys)).distinct()
     order = [c for c in dict.fromkeys([first, *rest])
              if not holds(df.schema[c].dataType, T.MapType, T.VariantType)]
-    row = F.struct(*map(quoted, rest))
-    best = F.max_by(row, F.struct(*map(quoted, order))) if order else F.any_value(row)
+    row, ranked = F.struct(*map(quoted, rest)), F.struct(*map(quoted, order))
+    # the row itself is the order, unless some column has none
+    best = F.max(ranked) if len(order) == len(rest) else F.max_by(row, ranked) if order else F.any_value(row)
     kept = df.groupBy(*map(quoted, keys)).agg(best.alias("__row"))
     by_name = {c: F.col("__row").getField(c) for c in rest}
     return kept.select(*[by_name[c].alias(c) if c in by_name else quoted(c) for c in df.columns])

@@ -7,10 +7,16 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from grainwise.errors import AuditError
+
 
 def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for checkpoints, if it names one."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names for checkpoints, if it names one.  A folder of
+    one machine is refused where executors run on others."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise AuditError(f"spark.checkpoint.dir is {folder}, which executors on other machines do not share.")
+    return folder
 
 
 class Shelf:
@@ -45,8 +51,11 @@ class Shelf:
         return df
 
     def close(self) -> None:
-        """Drop persisted frames.  Written ones stay under the checkpoint folder, whose
-        clean-up belongs to the cluster, as for Spark's own checkpoints."""
+        """Drop persisted frames and delete written ones."""
         for df in self._held:
             df.unpersist()
         self._held.clear()
+        if self._written:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._written = 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from dataclasses import dataclass, field
+from itertools import count
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,11 +56,16 @@ def list_files(spark: SparkSession, folder: str) -> list[str]:
 
 def load_folder(spark: SparkSession, folder: str,
                 schemas: dict[str, T.StructType | str] | None = None) -> LoadedFolder:
-    """Every readable table of a folder; an unreadable file becomes an error, not a failure."""
+    """Every readable table of a folder; an unreadable file becomes an error, not a failure.
+
+    Of files that would share a name, the first keeps it and the next get ``_2``, ``_3``."""
     out = LoadedFolder()
+    given: set[str] = set()
     for path in list_files(spark, folder):
         file = path.rsplit("/", 1)[-1]
-        name = sanitize_name(file.rsplit(".", 1)[0])
+        base = sanitize_name(file.rsplit(".", 1)[0])
+        name = next(n for n in (base, *(f"{base}_{k}" for k in count(2))) if n not in given)
+        given.add(name)
         try:
             out.tables[name] = read_table(spark, path, (schemas or {}).get(name))
         except Exception as e:  # readers raise whatever their format does

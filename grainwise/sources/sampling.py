@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from grainwise.errors import AuditError
 from grainwise.operators.fixes import count_chain
 from grainwise.plans.spec import JoinChain, quoted
 
 SAMPLE_ROWS = 50_000
-BUCKETS = 1_000
+#: Key hashes are numbers below two to this power.
+HASH_BITS = 60
 
 
 def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
@@ -22,16 +24,18 @@ def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def sample_by_key(df: DataFrame, key: str, fraction: float) -> DataFrame:
-    """The rows whose key falls into the kept share of hash buckets.
+    """The rows whose key's hash lies below ``fraction`` of all hashes.
 
     Tables sampled by the same key keep the same key values, so no join partner is
-    lost.  Integers of any width hash alike.
+    lost; keys are hashed by their text, so integers of any width agree.  Rows with a
+    NULL key have no partner: each is kept or left by a hash of its whole row.
     """
-    value = quoted(key)
-    if isinstance(df.schema[key].dataType, T.IntegralType):
-        value = value.cast("bigint")
-    kept = max(1, min(BUCKETS, round(fraction * BUCKETS)))
-    return df.where(F.pmod(F.xxhash64(value), F.lit(BUCKETS)) < kept)
+    if not 0 < fraction <= 1:
+        raise AuditError(f"A sample takes a fraction above 0 and up to 1, not {fraction}.")
+    own = F.xxhash64(*map(quoted, df.columns)).cast("string")
+    text = F.coalesce(quoted(key).cast("string"), own)
+    value = F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+    return df.where(value < F.lit(math.ceil(fraction * (1 << HASH_BITS))).cast("bigint"))
 
 
 def sample_chain(chain: JoinChain, keys: Mapping[str, str], fraction: float) -> JoinChain:
@@ -48,11 +52,12 @@ def sample_chain(chain: JoinChain, keys: Mapping[str, str], fraction: float) ->
 
 
 def sample_coverage(tables: Mapping[str, DataFrame], n: int = SAMPLE_ROWS) -> DataFrame:
-    """Per table: rows in the first-``n`` sample and rows in full."""
-    full = F.count(F.lit(1))
-    frames = [df.agg(F.lit(name).alias("table_name"),
-                     F.least(full, F.lit(n).cast("bigint")).alias("sample_rows"),
-                     full.alias("full_rows")) for name, df in tables.items()]
+    """Per table: rows that the first-``n`` sample has, and rows in full, both counted."""
+    def counted(name: str, df: DataFrame, column: str) -> DataFrame:
+        return df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias(column))
+
+    frames = [counted(name, sample_rows(df, n), "sample_rows").join(counted(name, df, "full_rows"), "table_name")
+              for name, df in tables.items()]
     return reduce(DataFrame.unionByName, frames)
 
 
