@@ -73,6 +73,11 @@ TEXTED = ("WITH texted AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN lpad
           "ELSE user_id::VARCHAR END AS user_text FROM events) ")
 
 
+def kept_by_key(key: str, fraction: float) -> str:
+    """Whether the first 60 bits of the key's md5, as a share of all, lie below the fraction."""
+    return f"('0x' || substr(md5({key}::VARCHAR), 1, 15))::BIGINT < ceil({fraction}::DOUBLE * 1152921504606846976::DOUBLE)"
+
+
 def key_row(table: str, keys: str, source: str | None = None) -> str:
     nulls = " OR ".join(f"{k} IS NULL" for k in keys.split(", "))
     label = f"'{table}' AS table_name, " if source is None else ""
@@ -169,6 +174,12 @@ SELECT 'SUM(o.large)' AS expression, max(large) FILTER (WHERE n = 0) AS base_exa
 UNION ALL SELECT 'SUM(o.price)', max(price) FILTER (WHERE n = 0), max(price) FILTER (WHERE n = 1) FROM v
 UNION ALL SELECT 'COUNT(o.price)', max(c::VARCHAR) FILTER (WHERE n = 0), max(c::VARCHAR) FILTER (WHERE n = 1) FROM v
 UNION ALL SELECT 'COUNT(*)', max(r::VARCHAR) FILTER (WHERE n = 0), max(r::VARCHAR) FILTER (WHERE n = 1) FROM v""",
+    "qualified_names": steps("orders o", [J("INNER", "JOIN customer c ON o.o_custkey = c.c_custkey", "o.o_custkey", "customer", "c_custkey")]),
+    "sampled_keys": f"SELECT o_custkey, count(*) AS n FROM orders WHERE {kept_by_key('o_custkey', 0.05)} GROUP BY o_custkey",
+    "validate_sample_by_key": f"""
+SELECT (SELECT count(*) FROM customer LEFT JOIN orders ON c_custkey = o_custkey) AS full_rows,
+  (SELECT count(*) FROM (SELECT * FROM customer WHERE {kept_by_key('c_custkey', 0.2)}) LEFT JOIN
+    (SELECT * FROM orders WHERE {kept_by_key('o_custkey', 0.2)}) ON c_custkey = o_custkey) AS sample_rows""",
     "steps_mixed_key_types": steps("customer c", [
         J("LEFT", "LEFT JOIN texted e ON c.c_custkey = CAST(e.user_text AS BIGINT)", "c.c_custkey", "texted", "user_text"),
         J("INNER", "JOIN orders o ON CAST(e.user_text AS BIGINT) = o.o_custkey", "CAST(e.user_text AS BIGINT)", "orders", "o_custkey"),

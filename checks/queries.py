@@ -12,7 +12,8 @@ from grainwise import (
     Agg, Join, JoinChain, audit, audit_query, audit_sections, exact_duplicates, keep_latest, key_stats,
     next_month, pre_aggregate, register_functions, rewrite_chain, top_keys)
 from grainwise.sources import (
-    load_folder, query_row_count, register_tables, sample_chain, sample_coverage, validate_sample)
+    load_folder, query_row_count, register_tables, sample_by_key, sample_chain, sample_coverage, table_chain,
+    validate_sample)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -481,6 +482,20 @@ def registered_names(t):
                        "ON o_custkey = c_custkey GROUP BY c_mktsegment")
 
 
+@query
+def qualified_names(t):
+    """A chain over names of two and three parts; nothing is copied into the catalog."""
+    register_tables(t.spark, {"audit.orders": t.orders, "lake.audit.customer": t.customer})
+    return steps(table_chain(t.spark, "audit.orders", "o", [
+        {"table": "lake.audit.customer", "alias": "c", "on": [("o.o_custkey", "c_custkey")]}]))
+
+
+@query
+def sampled_keys(t):
+    """Which keys a 5 % sample keeps, and how many rows of each."""
+    return sample_by_key(t.orders, "o_custkey", 0.05).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def row_count_of_query(t):
     register_tables(t.spark, {"audit_orders": t.orders, "audit_lineitem": t.lineitem})

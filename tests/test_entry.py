@@ -37,7 +37,7 @@ def test_every_oracle_has_a_query():
     assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
     assert set(driver.oracle_sql()) <= set(driver.queries())
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"facts_json", "validate_sample_by_key"}
+    assert set(QUERIES) - set(ORACLES) == {"facts_json"}
 
 
 def test_entry(spark):

@@ -214,17 +214,34 @@ def test_salting_keeps_the_counts(spark):
 
 
 def test_written_state(abc, tmp_path, monkeypatch):
-    """With a checkpoint folder, states are written there and counts stay the same."""
+    """With a checkpoint folder, states are written there, counts stay the same, and nothing is left."""
     a, b, c = abc
     chain = JoinChain(a, "a", [Join(b, "b", "left", on=[("a.k", "k")]), Join(c, "c", "full", on=[("a.j", "j")]),
                                Join(b, "d", "left", on=[("c.n", "k")])], aggs=[Agg("sum", "a.v")])
     monkeypatch.setattr("grainwise.plans.storage.checkpoint_folder", lambda spark: str(tmp_path))
+    written = []
+    keep = Shelf.keep
+    monkeypatch.setattr(Shelf, "keep", lambda shelf, df: (kept := keep(shelf, df), written.extend(kept.inputFiles()))[0])
     r = audit(chain)
-    assert list(tmp_path.iterdir())
+    assert written and all(str(tmp_path) in path for path in written) and not list(tmp_path.iterdir())
     assert [s.rows_after for s in r.step_list] == [chain.to_df(n).count() for n in (1, 2, 3)]
     assert r.risk_list[0].joined_value == chain.to_df().agg(F.sum("v")).first()[0]
 
 
+def test_local_folders_are_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    from grainwise.plans.storage import checkpoint_folder
+
+    def session(master, folder):
+        return SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=SimpleNamespace(master=master))
+
+    assert checkpoint_folder(session("local[4]", "file:///tmp/x")) == "file:///tmp/x"
+    assert checkpoint_folder(session("yarn", "hdfs:///x")) == "hdfs:///x"
+    with pytest.raises(AuditError, match="do not share"):
+        checkpoint_folder(session("yarn", "file:///tmp/x"))
+
+
 def test_names(abc):
     a, b, c = abc
     with pytest.raises(AuditError, match="twice"):

@@ -105,7 +105,7 @@ def test_grain_candidates(spark):
     right = spark.range(6).select(F.lit(1).alias("k"), *[F.col("id").alias(f"c{n}") for n in (1, 2, 3, 4)],
                                   (F.col("id") % 2).alias("c5"), F.col("id").alias("own"))
     chain = JoinChain(left, "l", [Join(right, "r", on=[("l.k", "k")])])
-    assert grain_columns(chain, 0, 6) == ["c1", "c2", "c3"]
+    assert grain_columns(chain, 0, 6) == ["c1", "c2", "c3", "c4"]
     one = JoinChain(left.select("k", "c5"), "l", [Join(right, "r", on=[("l.k", "k")])])
     assert grain_columns(one, 0, 6) == []
     later = JoinChain(left.select("k"), "l", [Join(right, "r", on=[("l.k", "k")]),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainwise import AuditError, Join, JoinChain, audit, count_chain, next_month
 from grainwise.sources import (
-    JdbcSource, demo_tables, load_folder, local_name, query_row_count, register_tables, sample_by_key,
+    JdbcSource, demo_tables, load_folder, local_name, named_table, query_row_count, register_tables, sample_by_key,
     sample_chain, sample_coverage, sample_rows, sanitize_name, table_chain, validate_sample)
 from grainwise.sources.jdbc import counting
 
@@ -36,21 +36,54 @@ def test_load_folder(spark, tmp_path):
 
 
 def test_qualified_names(spark):
+    """Names of two and three parts, without a copy; a catalog table of that name stays as it is."""
+    spark.sql("CREATE SCHEMA IF NOT EXISTS sales")
+    spark.range(5).write.mode("overwrite").saveAsTable("sales.orders")
     orders = spark.createDataFrame([(1, 10)], "id int, customer_id int")
     customers = spark.createDataFrame([(10, "Ada")], "id int, name string")
-    register_tables(spark, {"sales.orders": orders, "sales.customers": customers, "plain": orders,
-                            "spark_catalog.sales.again": orders})
+    register_tables(spark, {"sales.orders": orders, "lake.sales.customers": customers, "plain": orders})
     chain = table_chain(spark, "sales.orders", "o", [
-        {"table": "sales.customers", "alias": "c", "on": [("o.customer_id", "id")]}])
+        {"table": "lake.sales.customers", "alias": "c", "on": [("o.customer_id", "id")]}])
     r = audit(chain)
     assert (r.driving_rows, r.final_rows) == (1, 1)
-    assert r.step_list[0].bound.join.source == "sales.customers c" and chain.source == "sales.orders o"
-    assert spark.table("plain").count() == spark.table("spark_catalog.sales.again").count() == 1
-    assert query_row_count(spark, " SELECT * FROM sales.orders ; ") == 1
+    assert r.step_list[0].bound.join.source == "lake.sales.customers c" and chain.source == "sales.orders o"
+    assert spark.table("plain").count() == 1 and spark.table("sales.orders").count() == 5
+    assert query_row_count(spark, " SELECT * FROM sales.orders ; ") == 5
     with pytest.raises(AuditError, match="three"):
         register_tables(spark, {"a.b.c.d": orders})
 
 
+def test_copies_into_the_catalog(spark):
+    orders = spark.createDataFrame([(1, 10)], "id int, customer_id int")
+    spark.sql("DROP TABLE IF EXISTS depot.orders")
+    register_tables(spark, {"depot.orders": orders}, copy=True)
+    assert query_row_count(spark, "SELECT * FROM depot.orders") == 1
+    with pytest.raises(AuditError, match="not written"):
+        register_tables(spark, {"spark_catalog.depot.orders": spark.range(3)}, copy=True)
+    assert spark.table("depot.orders").count() == 1
+    assert named_table(spark, "depot.orders").count() == 1
+
+
+def test_files_of_one_name(spark, tmp_path):
+    (tmp_path / "t a.csv").write_text("x\n1\n")
+    (tmp_path / "t-a.csv").write_text("x\n1\n2\n")
+    spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/t_a.parquet")
+    got = load_folder(spark, str(tmp_path))
+    assert {n: df.count() for n, df in got.tables.items()} == {"t_a": 1, "t_a_2": 2, "t_a_3": 3}
+
+
+def test_fractions_and_null_keys(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), F.col("id").alias("n"))
+    for fraction in (0.0005, 0.02, 0.3):
+        kept = sample_by_key(rows, "k", fraction)
+        for some in (kept.where("k is null").count(), kept.where("k is not null").count()):
+            assert abs(some - 2000 * fraction) <= 5 * (2000 * fraction) ** 0.5 + 1
+    assert sample_by_key(rows, "k", 1).count() == 4000
+    for bad in (0, -0.1, 1.5):
+        with pytest.raises(AuditError, match="fraction"):
+            sample_by_key(rows, "k", bad)
+
+
 class Recorder:
     """Stands in for the session's reader: no database is contacted."""
 
