@@ -12,11 +12,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.llm.common import BLOCK_BYTES, attach, keep
+from grainwise.llm.common import BLOCK_BYTES, attach, keep, map_rows
 
 #: Characters (bytes of normalised text) of a q-gram: what one 64-bit number holds.
 Q = 8
@@ -50,6 +49,13 @@ def edit_budget(m: int, share: float) -> int:
     return max(0, min(int(share * m), m // Q - 1))
 
 
+def grouped(labels: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct labels, and the values of each."""
+    order = np.argsort(labels, kind="stable")
+    found, starts = np.unique(labels[order], return_index=True)
+    return found, np.split(values[order], starts[1:])
+
+
 @dataclass
 class Index:
     """q-grams of the passages: sorted values, and passage and place of each."""
@@ -74,6 +80,8 @@ class Index:
 
     def bands(self, text: bytes) -> Iterator[tuple[int, int, int]]:
         """(passage, first and last diagonal) of every band that reaches its bound."""
+        if not self.texts:
+            return
         values = grams(text)
         at = np.nonzero(self.known[slot(values)])[0]
         low = np.searchsorted(self.values, values[at], "left")
@@ -83,12 +91,17 @@ class Index:
         width = self.budget[item] + 1
         band = (diagonal + self.reach) // width
         span = np.int64(len(text) + 2 * self.reach)
-        keys, counts = np.unique(np.concatenate([item * span + band, item * span + np.maximum(band - 1, 0)]),
-                                 return_counts=True)
-        item, band = keys // span, keys % span
-        for i, b in zip(*(x[counts >= self.least[item]].tolist() for x in (item, band))):
-            first = b * int(self.budget[i] + 1) - self.reach
-            yield i, first, first + 2 * int(self.budget[i]) + 1
+        at = np.repeat(at, n)
+        both = np.concatenate([item * span + band, item * span + np.maximum(band - 1, 0)])
+        keys, group, counts = np.unique(both, return_inverse=True, return_counts=True)
+        enough = counts >= self.least[keys // span]
+        hits = np.nonzero(enough[group])[0]
+        # a q-gram that repeats counts once in the passage and once in the document
+        for key, own in zip(*grouped(group[hits], hits % len(item))):
+            i, b = divmod(int(keys[key]), int(span))
+            if min(len(np.unique(at[own])), len(np.unique(at[own] - diagonal[own]))) >= self.least[i]:
+                first = b * int(self.budget[i] + 1) - self.reach
+                yield i, first, first + 2 * int(self.budget[i]) + 1
 
     def matches(self, text: bytes) -> Iterator[tuple[int, int, int, int]]:
         """(passage, start, end, edits) of verified occurrences; of those of a passage that
@@ -107,27 +120,32 @@ class Index:
                     yield i, start, end, edits
 
 
-def last_row(passage: bytes, region: bytes, k: int, anchored: bool) -> np.ndarray:
+def last_row(passage: bytes, region: bytes, k: int, anchored: bool) -> np.ndarray | None:
     """Edits between the passage and the best stretch of the region ending at each place;
-    ``anchored``: the stretch begins where the region does.  Only diagonals that a
-    stretch within the region can use are kept."""
-    n = len(region)
-    letters, places = np.frombuffer(region, np.uint8), np.arange(n + 1)
-    row = places.copy() if anchored else np.zeros(n + 1, np.int64)
-    slack = k if anchored else max(n - len(passage), 0) + k
+    ``anchored``: the stretch begins where the region does.  Only the diagonals that a
+    stretch within the region can use are aligned; None as soon as all are beyond k edits."""
+    n, m = len(region), len(passage)
+    letters, places = np.frombuffer(region, np.uint8), np.arange(n + 1, dtype=np.int32)
+    slack = k if anchored else max(n - m, 0) + k
+    row = np.full(n + 2, k + 1, np.int32)  # one more place, so that a band may end before it
+    row[:min(slack, n) + 1] = places[:min(slack, n) + 1] if anchored else 0
     for i, letter in enumerate(passage, 1):
         low, high = max(i - k, 0), min(i + slack, n)
-        new = np.full(n + 1, k + 1, np.int64)
-        if low > n:
-            return new
+        if low > high:
+            return None
         part = row[low:high + 1] + 1
         if low:
-            part = np.minimum(part, row[low - 1:high] + (letters[low - 1:high] != letter))
+            np.minimum(part, row[low - 1:high] + (letters[low - 1:high] != letter), out=part)
+            row[low - 1] = k + 1
         else:
-            part[1:] = np.minimum(part[1:], row[:high] + (letters[:high] != letter))
-        new[low:high + 1] = np.minimum.accumulate(part - places[low:high + 1]) + places[low:high + 1]
-        row = np.minimum(new, k + 1)
-    return row
+            np.minimum(part[1:], row[:high] + (letters[:high] != letter), out=part[1:])
+        part -= places[low:high + 1]
+        np.minimum.accumulate(part, out=part)
+        part += places[low:high + 1]
+        row[low:high + 1] = part
+        if i % 8 == 0 and part.min() > k:
+            return None
+    return np.minimum(row[:n + 1], k + 1)
 
 
 def occurrence(passage: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
@@ -136,9 +154,9 @@ def occurrence(passage: bytes, region: bytes, k: int) -> tuple[int, int, int] |
     if at >= 0:
         return at, at + len(passage), 0
     row = last_row(passage, region, k, False)
-    end = int(row.argmin())
-    if row[end] > k:
+    if row is None or row.min() > k:
         return None
+    end = int(row.argmin())
     back = last_row(passage[::-1], region[:end][::-1], k, True)
     return end - int(back.argmin()), end, int(row[end])
 
@@ -166,26 +184,23 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         cleaned = sorted(((r.item_id, normalised(bytes(r["_text"]))) for r in own), key=lambda x: x[1])
         cleaned = [(i, t) for i, t in cleaned if len(t) - 2 >= Q]
         index = Index([i for i, _ in cleaned], [t for _, t in cleaned], share)
-        found = rows.mapInPandas(searcher(index), f"{kinds}, start bigint, end bigint, edits int")
+        found = map_rows(rows, searcher(index), f"{kinds}, start bigint, end bigint, edits int")
         out = found if out is None else out.union(found)
     return out
 
 
 def searcher(index: Index):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hits = []
-            for doc, text in zip(batch["doc_id"], batch["_text"]):
-                text = normalised(text)
-                seen = set()
-                for start in range(0, len(text), BLOCK_BYTES):
-                    for i, a, b, edits in index.matches(text[start:start + BLOCK_BYTES + index.reach]):
-                        hit = (index.ids[i], start + a, start + b, edits)
-                        if hit not in seen:
-                            seen.add(hit)
-                            hits.append((None if pd.isna(doc) else doc, *hit))
-            if hits:
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "start", "end", "edits"])
+    """(id, text) to (id, passage, start, end, edits) of every occurrence."""
+    def search(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, text in rows:
+            text = normalised(text)
+            seen = set()
+            for start in range(0, len(text), BLOCK_BYTES):
+                for i, a, b, edits in index.matches(text[start:start + BLOCK_BYTES + index.reach]):
+                    hit = (doc, index.ids[i], start + a, start + b, edits)
+                    if hit not in seen:
+                        seen.add(hit)
+                        yield hit
 
     return search
 
@@ -195,5 +210,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     NULL and repeated ids do no harm."""
     texts = docs.select(F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
     leaks = keep(find_passages(texts, benchmark, "_hash", "text").select(F.col("doc_id").alias("_hash")).distinct())
-    marked = docs.withColumn("_hash", F.xxhash64(text_col))
-    return attach(marked, leaks, ["_hash"], "left_anti").select(*docs.columns)
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(text_col).alias("_hash"))
+    return attach(marked, leaks, ["_hash"], "left_anti").select("doc.*")
