@@ -9,6 +9,7 @@ judged by its most toxic window, so a long text does not hide a short insult.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,11 +67,11 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[order].astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
-def window_words(words: list[bytes], doc: int) -> list[str]:
-    """Up to ``WINDOWS_PER_DOC`` windows from anywhere in the text."""
+def window_words(words: list[bytes]) -> list[str]:
+    """Up to ``WINDOWS_PER_DOC`` windows from anywhere in the text, which alone decides them."""
     starts = np.arange(0, max(len(words) - WINDOW, 0) + 1, WINDOW)
     if len(starts) > WINDOWS_PER_DOC:
-        starts = np.sort(np.random.default_rng(doc & 0xFFFFFFFF).choice(starts, WINDOWS_PER_DOC, replace=False))
+        starts = np.sort(np.random.default_rng(zlib.crc32(b" ".join(words))).choice(starts, WINDOWS_PER_DOC, replace=False))
     return [b" ".join(words[a:a + WINDOW]).decode("utf-8", "replace") for a in starts]
 
 
@@ -181,13 +182,20 @@ def calibrate(tops: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights:
     return float(a), float(b), float(w[2] - a * centre[0] - b * centre[1])
 
 
+def constant(total: dict[int, int]) -> Model:
+    """A model that gives every text the share of toxic labels."""
+    share = min(max(total.get(1, 0) / max(sum(total.values()), 1), 1e-6), 1 - 1e-6)
+    return Model(np.zeros(1 << BUCKET_BITS), 0.0, (0.0, 0.0, float(np.log(share / (1 - share)))))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Fits on labelled documents whose crc32(doc_id) is not 0 modulo ``FOLDS``.
 
     At most ``DOCS_PER_CLASS`` documents a class take part, those with the smallest hash of
     their id: half give windows to the embeddings, half calibrate; classes count by their
-    numbers in all labels.  A document with several labels has the highest.  Without both
-    classes the score is the share of toxic labels for every text."""
+    numbers in all labels.  A document with several labels has the highest, an id with several
+    texts gives the smallest.  Without both
+    classes among them the score is the share of toxic labels for every text."""
     marked = (labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("mark")).where("id is not null and mark in (0, 1)")
               .where(remainder(F.col("id"), FOLDS) != 0).groupBy("id").agg(F.max("mark").alias("mark")))
     total = {r.mark: r.n for r in marked.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -198,23 +206,20 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         chosen = own if chosen is None else chosen.union(own)
     rows = [(r.id, r.mark) for r in chosen.collect()]
     if len(total) < 2:
-        share = float(total.get(1, 0)) / max(sum(total.values()), 1)
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(1 << BUCKET_BITS), 0.0, (0.0, 0.0, float(np.log(share / (1 - share)))))
+        return constant(total)
     spark = docs.sparkSession
     wanted = spark.createDataFrame(rows, f"id {marked.schema['id'].dataType.simpleString()}, mark int")
     own = (docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-           .join(F.broadcast(wanted), "id").withColumn("fit", F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.lit(2)) == 0))
+           .join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("mark").alias("mark"))
+           .withColumn("fit", F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.lit(2)) == 0))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(str(i), int(m), w) for i, t, m in zip(b.id, b.text, b.mark) for w in window_words(clean(t), hash(int(i)))]
-            yield pd.DataFrame(found, columns=["id", "mark", "words"])
+            yield pd.DataFrame([(int(m), w) for t, m in zip(b.text, b.mark) for w in window_words(clean(t))], columns=["mark", "words"])
 
-    found = own.where("fit").mapInPandas(windows, "id string, mark int, words string").toPandas()
-    found = found.sort_values(["id", "words"], ignore_index=True)
+    found = own.where("fit").mapInPandas(windows, "mark int, words string").toPandas().sort_values(["mark", "words"], ignore_index=True)
     if found.mark.nunique() < 2:
-        return Model(np.zeros(1 << BUCKET_BITS))
+        return constant(total)
     model = fit_windows(list(found.words), found.mark.to_numpy())
 
     def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
