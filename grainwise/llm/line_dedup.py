@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.llm.common import attach, keep
+from grainwise.llm.common import attach, keep, map_rows
 
 #: Words from which one edit leaves a similarity of 0.8; shorter lines must be equal.
 LEAST_WORDS = 5
@@ -80,34 +80,29 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[same:] == b[same + 1:]
 
 
-def line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per line with words: its document, number, two hashes and its halves."""
-    for b in batches:
-        rows = []
-        for id_, row, key, text in zip(b["id"], b["row"], b["key"], b["text"]):
-            for n, line in enumerate(text.split(b"\n")):
-                if words := line.lower().split():
-                    joined = b" ".join(words)
-                    rows.append((id_, row, key, n, signed(xxhash.xxh3_64_intdigest(joined)),
-                                 signed(xxhash.xxh64_intdigest(joined, 1)), halves(words)))
-        yield pd.DataFrame(rows, columns=["id", "row", "key", "n", "h", "g", "halves"])
+def line_rows(docs: Iterator[tuple]) -> Iterator[tuple]:
+    """(id, row, key, text) to one row per line with words: id, row, key, the line's number,
+    two hashes and its halves."""
+    for *doc, text in docs:
+        for n, line in enumerate(text.split(b"\n")):
+            if words := line.lower().split():
+                joined = b" ".join(words)
+                yield (*doc, n, signed(xxhash.xxh3_64_intdigest(joined)), signed(xxhash.xxh64_intdigest(joined, 1)), halves(words))
 
 
-def concerned_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def concerned_lines(docs: Iterator[tuple]) -> Iterator[tuple]:
     """The lines of a document that ``places`` names (number, hashes), with their text."""
-    for b in batches:
-        rows = []
-        for id_, row, key, text, places in zip(b["id"], b["row"], b["key"], b["text"], b["places"]):
-            lines = text.split(b"\n")
-            rows += [(id_, row, key, p["n"], p["h"], p["g"], lines[p["n"]]) for p in places]
-        yield pd.DataFrame(rows, columns=["id", "row", "key", "n", "h", "g", "line"])
+    for *doc, text, places in docs:
+        lines = text.split(b"\n")
+        for p in places:
+            yield (*doc, p["n"], p["h"], p["g"], lines[p["n"]])
 
 
-def variant_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [(front, back, *r) for *r, line in zip(b["id"], b["row"], b["key"], b["n"], b["h"], b["g"], b["line"])
-                for front, back in variants(line.lower().split())]
-        yield pd.DataFrame(rows, columns=["front", "back", "id", "row", "key", "n", "h", "g"])
+def variant_rows(lines: Iterator[tuple]) -> Iterator[tuple]:
+    """(h, line) to one row per variant: a hash of its two halves, and the line's."""
+    for h, text in lines:
+        for front, back in variants(text.lower().split()):
+            yield signed((front * 0x9E3779B97F4A7C15 + back) & 0xFFFFFFFFFFFFFFFF), h
 
 
 def place(*more: str) -> Column:
@@ -119,18 +114,16 @@ def near_copies(first: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
     """Hashes (h, g) of the distinct lines of which an earlier one is within one edit.
 
     ``first``: kept first places of the distinct lines; ``docs``: id, row, key and text."""
-    halved = first.select("h", "g", F.explode("halves").alias("half"))
-    shared = halved.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    flagged = halved.join(shared, "half", "left_semi").select("h", "g").distinct()
-    places = (first.join(flagged, ["h", "g"]).groupBy("row", "key").agg(F.collect_list(F.struct("n", "h", "g")).alias("places")))
-    texts = keep(attach(docs, keep(places), ["row", "key"], salts=1)
-                 .select("id", "row", "key", "text", "places").dropDuplicates(["row", "key"])
-                 .mapInPandas(concerned_lines, f"id {kind}, row bigint, key bigint, n int, h bigint, g bigint, line binary"))
-    found = texts.mapInPandas(variant_rows, f"front bigint, back bigint, id {kind}, row bigint, key bigint, n int, h bigint, g bigint")
-    # a variant's earliest line against each of the others
-    earliest = (found.groupBy("front", "back").agg(F.min(place("h", "g")).alias("e"), F.count(F.lit(1)).alias("c")).where("c > 1")
-                .select("front", "back", F.col("e.h").alias("eh"), F.col("e.g").alias("eg")))
-    pairs = (found.join(earliest, ["front", "back"]).where("h != eh or g != eg").select("h", "g", "eh", "eg").distinct())
+    halved = first.select("h", F.explode("halves").alias("half"))
+    flagged = shared_by(halved, "half").select("h").distinct()
+    places = first.join(flagged, "h").groupBy("row", "key").agg(F.collect_list(F.struct("n", "h", "g")).alias("places"))
+    own = attach(docs, keep(places), ["row", "key"], salts=1).select("id", "row", "key", "text", "places").dropDuplicates(["row", "key"])
+    texts = keep(map_rows(own, concerned_lines, f"id {kind}, row bigint, key bigint, n int, h bigint, g bigint, line binary"))
+    found = keep(shared_by(map_rows(texts.select("h", "line"), variant_rows, "v bigint, h bigint"), "v"))
+    # a variant's earliest line against each of the others; equal hashes are no proof
+    placed = found.join(texts.select("h", "g", place().alias("at")), "h")
+    earliest = placed.groupBy("v").agg(F.min(F.struct("at", "h", "g")).alias("e")).select("v", F.col("e.h").alias("eh"), F.col("e.g").alias("eg"))
+    pairs = placed.join(earliest, "v").where("h != eh or g != eg").select("h", "g", "eh", "eg").distinct()
 
     @F.pandas_udf("boolean")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -141,6 +134,12 @@ def near_copies(first: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
     return pairs.join(lines, ["h", "g"]).join(others, ["eh", "eg"]).where(verified("line", "other")).select("h", "g").distinct()
 
 
+def shared_by(rows: DataFrame, key: str) -> DataFrame:
+    """The (key, h) rows whose key several lines have."""
+    spread = rows.groupBy(key).agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select(key)
+    return rows.join(spread, key, "left_semi")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: bool = True) -> DataFrame:
     """``docs`` with their text cut to the lines that stay, ``lines`` (lines with words) and
     ``kept_lines``; columns of these names are replaced.
@@ -157,7 +156,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.xxhash64(F.lit(1), *columns).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     narrow = rows.select("id", "row", "key", "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    lines = narrow.mapInPandas(line_rows, f"id {kind}, row bigint, key bigint, n int, h bigint, g bigint, halves array<bigint>")
+    lines = map_rows(narrow, line_rows, f"id {kind}, row bigint, key bigint, n int, h bigint, g bigint, halves array<bigint>")
     first = keep(lines.groupBy("h", "g").agg(F.min(place("halves")).alias("f"))
                  .select("h", "g", "f.id", "f.row", "f.key", "f.n", "f.halves"))
     kept = first.join(near_copies(first, narrow, kind), ["h", "g"], "left_anti") if near else first
