@@ -172,6 +172,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append((b"\n".join(left).decode("utf-8", "replace"), sum(worded), len(stay)))
         return pd.DataFrame(out, columns=["text", "lines", "kept_lines"])
 
-    joined = attach(rows, numbers, ["row", "key"], "left", salts=1).withColumn("new", rebuilt("text", "numbers"))
+    joined = rows.join(numbers, ["row", "key"], "left").withColumn("new", rebuilt("text", "numbers"))
     text = F.when(F.col(f"doc.`{text_col}`").isNotNull(), F.col("new.text")).alias(text_col)
     return joined.select(*[text if c == text_col else F.col(f"doc.`{c}`") for c in columns], "new.lines", "new.kept_lines")
