@@ -111,9 +111,30 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document: its lines, those that stay, and the checksum of the text that is left."""
+    """Per document: its lines, those that stay, and the md5 of the text that is left."""
     cut = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "lines", "kept_lines", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    return cut.select("doc_id", "lines", "kept_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+ORACLES["op7_line_dedup"] = """
+WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS n FROM docs),
+worded AS (SELECT *, [x FOR x IN regexp_split_to_array(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+') IF x <> ''] AS w FROM lines),
+firsts AS (SELECT doc_id, n, w FROM worded WHERE len(w) > 0 QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, n) = 1),
+variants AS (
+  SELECT doc_id, n, md5(array_to_string(w[1:i], ' ')) AS front, md5(array_to_string(w[i + 1:], ' ')) AS back
+  FROM (SELECT *, unnest(range(0, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 4)
+  UNION ALL
+  SELECT doc_id, n, md5(array_to_string(w[1:i], ' ')), md5(array_to_string(w[i + 2:], ' '))
+  FROM (SELECT *, unnest(range(0, len(w))) AS i FROM firsts WHERE len(w) >= 5)),
+near AS (SELECT DISTINCT doc_id, n FROM (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY front, back ORDER BY doc_id, n) AS place FROM variants) WHERE place > 1),
+kept AS (SELECT doc_id, n FROM firsts EXCEPT SELECT doc_id, n FROM near)
+SELECT l.doc_id, count(*) FILTER (WHERE len(w) > 0)::INT AS lines, count(k.n)::INT AS kept_lines,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY l.n) FILTER (WHERE len(w) = 0 OR k.n IS NOT NULL), '')) AS text_md5
+FROM worded l LEFT JOIN kept k ON l.doc_id = k.doc_id AND l.n = k.n GROUP BY l.doc_id
+"""
 
 
 @query
