@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.llm.common import BLOCK_BYTES, remainder
+from grainwise.llm.common import BLOCK_BYTES, remainder, word_blocks
 
 BUCKET_BITS, DIM, LENGTHS = 17, 8, (3, 4, 5)
 #: Words of a window.
@@ -88,9 +88,10 @@ class Model:
     def highest(self, text: bytes | None) -> tuple[float, int]:
         """Log odds of the most toxic window, and the number of words."""
         top, total, carried = -np.inf, 0, []
-        words = clean(text)
-        for start in range(0, len(words), BLOCK_BYTES // 8):
-            part = carried + words[start:start + BLOCK_BYTES // 8]
+        for words in word_blocks((text or b"").translate(_CLEAN), BLOCK_BYTES):
+            if not words:
+                continue
+            part = carried + words
             buckets, n = features(part)
             total += len(part) - len(carried)
             ends = np.cumsum(n)
