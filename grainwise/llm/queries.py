@@ -101,7 +101,7 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, relax=6.0)
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 @query

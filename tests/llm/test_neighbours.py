@@ -85,3 +85,21 @@ def test_floats_and_few_candidates(spark, shards, monkeypatch):
     rows = [(i, [float(i % 3) + 0.5, 1.0, float(i)]) for i in (0, 1, 2, 50)]
     frame = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
     compare(nearest(frame).collect(), brute(rows))
+
+
+@pytest.mark.parametrize("kind", ["low rank with an offset", "decaying"])
+def test_the_query_finds_all_neighbours_of_structured_vectors(spark, tmp_path, kind):
+    from grainwise.llm.queries import QUERIES
+
+    rng = np.random.default_rng(7)
+    if kind == "decaying":
+        points = rng.normal(size=(6000, 64)) / np.arange(1, 65)
+    else:
+        points = rng.normal(size=(6000, 16)) @ rng.normal(size=(16, 64)) + 4 * rng.normal(size=64)
+    rows = [(i, v) for i, v in enumerate(points.tolist())]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query_id, r.vec_id) for r in QUERIES["op5_neighbours"](spark, str(tmp_path)).collect()}
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    near = unit[::50] @ unit.T
+    near[np.arange(120), np.arange(0, 6000, 50)] = -9
+    assert got == {(50 * q, v) for q, own in enumerate(np.argsort(-near, axis=1)[:, :5].tolist()) for v in own}
