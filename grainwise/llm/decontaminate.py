@@ -120,6 +120,29 @@ class Index:
                     yield i, start, end, edits
 
 
+class Short:
+    """Passages of fewer than ``Q`` characters, found as they are between blanks.  With the
+    blank after it a passage fits one number, and so does the text from any of its words on."""
+
+    def __init__(self, ids: list, texts: list[bytes]):
+        self.ids: dict[int, dict[int, list]] = {}
+        for i, t in zip(ids, texts):
+            self.ids.setdefault(len(t) - 1, {}).setdefault(int.from_bytes(t[1:], "little"), []).append(i)
+        self.values = {n: np.array(sorted(own), np.uint64) for n, own in self.ids.items()}
+
+    def matches(self, text: bytes) -> Iterator[tuple]:
+        """(passage's id, start, end) of every occurrence, with the blanks around it."""
+        for begin in range(0, len(text) if self.ids else 0, BLOCK_BYTES):
+            part = text[begin:begin + BLOCK_BYTES + Q] + bytes(Q)
+            blanks = np.flatnonzero(np.frombuffer(part, np.uint8, min(BLOCK_BYTES, len(text) - begin)) == ord(" "))
+            following = grams(part)[blanks + 1]
+            for n, values in self.values.items():
+                first = following & np.uint64((1 << 8 * n) - 1)
+                for at in np.flatnonzero(np.isin(first, values)):
+                    start = begin + int(blanks[at])
+                    yield from ((i, start, start + n + 1) for i in self.ids[n][int(first[at])])
+
+
 def last_row(passage: bytes, region: bytes, k: int, anchored: bool) -> np.ndarray | None:
     """Edits between the passage and the best stretch of the region ending at each place;
     ``anchored``: the stretch begins where the region does.  Only the diagonals that a
@@ -162,12 +185,14 @@ def occurrence(passage: bytes, region: bytes, k: int) -> tuple[int, int, int] |
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE) -> DataFrame:
+                  item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE,
+                  short: bool = False) -> DataFrame:
     """One row per occurrence of a benchmark passage in a document: ``doc_id``, ``item_id``,
     ``start`` and ``end`` in the document's normalised text, and ``edits``.
 
-    Passages of fewer than ``Q`` characters are too short for the lemma and take no part, as
-    do NULL ones; a NULL document is empty.  Repeated documents and passages are reported
+    Passages of fewer than ``Q`` characters are too short for the lemma: with ``short`` they
+    are found without edits and as whole words, else they take no part.  NULL and empty
+    passages never do; a NULL document is empty.  Repeated documents and passages are reported
     each.  The benchmark is read in blocks of ``INDEX_BYTES``, so that what tasks hold is
     bounded; each block is one scan of the documents.  Texts are searched in overlapping
     stretches.
@@ -182,14 +207,15 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "_text"), F.lit(blocks)) == block).collect()
         cleaned = sorted(((r.item_id, normalised(bytes(r["_text"]))) for r in own), key=lambda x: x[1])
+        brief = [(i, t) for i, t in cleaned if short and 0 < len(t) - 2 < Q]
         cleaned = [(i, t) for i, t in cleaned if len(t) - 2 >= Q]
         index = Index([i for i, _ in cleaned], [t for _, t in cleaned], share)
-        found = map_rows(rows, searcher(index), f"{kinds}, start bigint, end bigint, edits int")
+        found = map_rows(rows, searcher(index, Short([i for i, _ in brief], [t for _, t in brief])), f"{kinds}, start bigint, end bigint, edits int")
         out = found if out is None else out.union(found)
     return out
 
 
-def searcher(index: Index):
+def searcher(index: Index, short: Short | None = None):
     """(id, text) to (id, passage, start, end, edits) of every occurrence."""
     def search(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc, text in rows:
@@ -201,6 +227,8 @@ def searcher(index: Index):
                     if hit not in seen:
                         seen.add(hit)
                         yield hit
+            if short:
+                yield from ((doc, *hit, 0) for hit in short.matches(text))
 
     return search
 

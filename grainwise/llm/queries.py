@@ -88,8 +88,8 @@ def op2_language_model(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    """Every occurrence of a benchmark passage in a document."""
-    return decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    """Every occurrence of a benchmark passage in a document, of short ones too."""
+    return decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"), short=True)
 
 
 @query

@@ -118,3 +118,23 @@ def test_nulls_repeats_empty_tables_and_clean_documents(spark, docs_of):
     assert sorted((r.doc_id, r["_hash"]) for r in left.collect()) == [(2, "old"), (3, "old"), (4, "old")]
     assert D.find_passages(docs, bench.limit(0)).count() == 0
     assert D.find_passages(docs.limit(0), bench).count() == 0
+
+
+def test_the_query_reports_short_passages(spark, tmp_path, monkeypatch):
+    from grainwise.llm.queries import QUERIES
+
+    items = [(1, "Hi"), (2, "a b c d"), (3, "seven77"), (4, "hi!"), (5, "..."), (6, "x"), (7, None), (8, "eight888"), (9, "\u00fc")]
+    docs = [(1, "hi hi, this chip"), (2, "A b c d e"), (3, "a b c do"), (4, "seven77"), (5, None), (6, ""), (7, "x " * 40 + "eight888 \u00fc"), (None, "x")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for d, text in docs:
+        clean = D.normalised((text or "").encode())
+        for i, passage in items:
+            own = D.normalised((passage or "").encode())
+            want += [(d, i, at, at + len(own), 0) for at in range(len(clean)) if len(own) > 2 and clean.startswith(own, at)]
+    for size in (D.BLOCK_BYTES, 7, 1):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        got = [(r.doc_id, r.item_id, r.start, r.end, r.edits) for r in QUERIES["op3_decontaminate"](spark, str(tmp_path)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert len(want) == 49
