@@ -343,6 +343,9 @@ FROM (SELECT user_text, count(*) AS n FROM texted GROUP BY user_text)""",
                     f"orders) AS s, (SELECT sum(o_totalprice) FROM {O_C_L}) AS j)",
     "load_folder_counts": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ALL_TABLES),
+    "load_text_files": "SELECT 'buyers_2024' AS table_name, 'int,string,int,double' AS types, c_custkey AS key, c_name AS "
+                       "full_name, c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT 'vendors', "
+                       "'int,string,int,double', s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
     "registered_names": "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer "
                         "ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "row_count_of_query": "SELECT count(*) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from grainwise import (
     Agg, Join, JoinChain, audit, audit_query, audit_sections, exact_duplicates, keep_latest, key_stats,
     next_month, pre_aggregate, register_functions, rewrite_chain, top_keys)
+from grainwise.plans.storage import new_folder
 from grainwise.sources import (
     load_folder, query_row_count, register_tables, sample_by_key, sample_chain, sample_coverage, table_chain,
     validate_sample)
@@ -474,6 +475,20 @@ def load_folder_counts(t):
         df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n")) for name, df in tables.items()])
 
 
+@query
+def load_text_files(t):
+    """Customers and suppliers as every row comes back from CSV and TSV files, under sniffed delimiters."""
+    folder = new_folder(t.spark)
+    for name, sep, df in (("Buyers 2024.csv", ";", t.customer.drop("c_mktsegment")), ("vendors.tsv", "\t", t.supplier)):
+        named = df.toDF("Key", "Full Name", "nation", "balance")
+        named.write.option("header", True).option("sep", sep).option("escape", '"').csv(f"{folder}/{name}")
+    loaded = load_folder(t.spark, folder).tables
+    kinds = {name: ",".join(kind for _, kind in df.dtypes) for name, df in loaded.items()}
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(name).alias("table_name"), F.lit(kinds[name]).alias("types"), F.col("Key").cast("bigint").alias("key"),
+                  F.col("Full Name").alias("full_name"), "nation", "balance") for name, df in loaded.items()])
+
+
 @query
 def registered_names(t):
     """Tables registered under their names and read in SQL."""

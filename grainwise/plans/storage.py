@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +13,38 @@ from pyspark.sql import DataFrame, SparkSession
 from grainwise.errors import AuditError
 
 
+def _shared(spark: SparkSession, setting: str, folder: str) -> str:
+    """``folder``, unless executors run on other machines and it lies on each one's own disk."""
+    if spark.sparkContext.master.startswith("local"):
+        return folder
+    scheme = urlsplit(folder).scheme
+    if not scheme:  # a bare path lies on the default file system
+        scheme = urlsplit(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")).scheme
+    if scheme == "file":
+        raise AuditError(f"{setting} is {folder}, which executors on other machines do not share.")
+    return folder
+
+
 def checkpoint_folder(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for checkpoints, if it names one.  A folder of
     one machine is refused where executors run on others."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
-        raise AuditError(f"spark.checkpoint.dir is {folder}, which executors on other machines do not share.")
-    return folder
+    return _shared(spark, "spark.checkpoint.dir", folder) if folder else None
+
+
+def new_folder(spark: SparkSession) -> str:
+    """Path of a new folder for tables that every executor can read, deleted when the session
+    ends.  It lies under ``spark.checkpoint.dir``; unset, that is a temporary folder in local
+    mode and the warehouse on a cluster, which must then be shared."""
+    top = checkpoint_folder(spark)
+    if not top and re.match(r"local(\[|$)", spark.sparkContext.master):
+        top = tempfile.gettempdir()
+    if not top:
+        top = _shared(spark, "spark.sql.warehouse.dir", spark.conf.get("spark.sql.warehouse.dir"))
+    path = f"{top.rstrip('/')}/grainwise-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 class Shelf:

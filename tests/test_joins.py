@@ -242,6 +242,25 @@ def test_local_folders_are_refused_on_a_cluster():
         checkpoint_folder(session("yarn", "file:///tmp/x"))
 
 
+def test_bare_paths_follow_the_default_file_system(spark):
+    from types import SimpleNamespace
+
+    from grainwise.plans.storage import checkpoint_folder, new_folder
+
+    def session(folder, default, **conf):
+        hadoop = SimpleNamespace(get=lambda key, other: default or other)
+        context = SimpleNamespace(master="yarn", _jsc=SimpleNamespace(hadoopConfiguration=lambda: hadoop))
+        return SimpleNamespace(conf={"spark.checkpoint.dir": folder, **conf}, sparkContext=context)
+
+    assert checkpoint_folder(session("/shared/x", "hdfs://name:8020")) == "/shared/x"
+    for default in ("file:///", None):
+        with pytest.raises(AuditError, match="do not share"):
+            checkpoint_folder(session("/tmp/x", default))
+    with pytest.raises(AuditError, match="warehouse.dir"):
+        new_folder(session(None, "hdfs://name", **{"spark.sql.warehouse.dir": "file:/home/me/spark-warehouse"}))
+    assert new_folder(spark) != new_folder(spark)
+
+
 def test_names(abc):
     a, b, c = abc
     with pytest.raises(AuditError, match="twice"):

@@ -35,6 +35,35 @@ def test_load_folder(spark, tmp_path):
     assert len(got.errors) == 1 and got.errors[0].startswith("broken.parquet: ")
 
 
+def test_text_tables_as_written(spark, tmp_path):
+    """Doubled quotes, a byte order mark, line breaks in values, compressed parts, and empty files."""
+    (tmp_path / "quoted.csv").write_text('id;note\n1;"x ""q"" ; y"\n2;z\n')
+    (tmp_path / "marked.tsv").write_bytes(b"\xef\xbb\xbfa\tb\n1\t2\n")
+    (tmp_path / "breaks.csv").write_text('a,b\n1,"x\ny"\n')
+    (tmp_path / "empty.csv").write_text("")
+    spark.range(3).selectExpr("id", "id + 0.5 AS half").write.option("header", True).option("sep", "|").csv(
+        f"{tmp_path}/parts.csv", compression="gzip")
+    got = load_folder(spark, str(tmp_path), multiline=True)
+    rows = {name: sorted(map(tuple, df.collect())) for name, df in got.tables.items()}
+    assert rows == {"quoted": [(1, 'x "q" ; y'), (2, "z")], "marked": [(1, 2)], "breaks": [(1, "x\ny")],
+                    "parts": [(0, 0.5), (1, 1.5), (2, 2.5)]}
+    assert got.tables["marked"].columns == ["a", "b"]
+    assert got.errors == ["empty.csv: No columns to read: the file is empty"]
+
+
+def test_listing_runs_no_job(spark, small):
+    """Names come from the file system: no job, whatever the files hold."""
+    from grainwise.sources.files import list_files
+
+    spark.sparkContext.setJobGroup("listing", "list")
+    try:
+        paths = list_files(spark, small)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert f"{small}/orders.parquet" in paths and len(paths) == 14
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("listing")
+
+
 def test_qualified_names(spark):
     """Names of two and three parts, without a copy; a catalog table of that name stays as it is."""
     spark.sql("CREATE SCHEMA IF NOT EXISTS sales")
