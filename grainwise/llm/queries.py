@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainwise.llm import decontaminate, line_dedup, lm, mixing, neighbours, quality, sharding, simhash, token_counts, toxicity
+from grainwise.llm import (
+    decontaminate, fill_in_middle, lexical, line_dedup, lm, mixing, neighbours, quality, sentence_pieces, sharding, simhash, token_counts, toxicity)
 from grainwise.llm.common import keep, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +159,50 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     weak, scorer = quality.learn(docs)
     return quality.quality(docs, weak, scorer).select("doc_id", "weak_label", "score", "keep")
+
+
+@query
+def op11_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = sentence_pieces.read_vocabulary()
+    ids = sentence_pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary)
+    both = sentence_pieces.decode(ids, vocabulary)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = lexical.build_index(table(spark, folder, "documents"))
+    return lexical.search(index, table(spark, folder, "benchmark"), k=50)
+
+
+ORACLES["op12_lexical_search"] = """
+WITH doc_terms AS (
+  SELECT row, doc_id, term, count(*) AS tf FROM (
+    SELECT row, doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)) GROUP BY ALL),
+lengths AS (SELECT row, sum(tf)::BIGINT AS n FROM doc_terms GROUP BY row),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM doc_terms, totals GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+norms AS (SELECT row, 50 + (50 * n * docs) // terms AS m FROM lengths, totals),
+scored AS (
+  SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN doc_terms USING (term) JOIN norms USING (row)
+  GROUP BY item_id, row, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
