@@ -2,9 +2,9 @@
 
 No piece of the vocabulary holds a whitespace marker after another character, and few
 characters ever stand side by side in a piece.  A text falls apart where neither can happen,
-and what a chunk becomes does not depend on its neighbours.  So every distinct chunk is
-segmented once; frequent ones are looked up where the texts lie, the others are joined by
-chunk, and their ids go back to their places in the texts.
+and what a chunk becomes does not depend on its neighbours.  So the chunks of all texts are
+counted, the frequent ones segmented once and sent to every task as a table; a task adds each
+other chunk that it meets, once, and puts the ids in the chunks' places.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.llm.common import keep, map_rows
@@ -31,12 +31,10 @@ WALL = "\ue000"
 PROBE = "  ﬁ Ａ x  "
 #: Chunks looked up where texts lie, the characters of one and of all of them at most.
 HEAD, LONGEST, HEAD_CHARS = 250_000, 4096, 16 << 20
-#: Chunks a task counts at once.
-COUNTED = 400_000
+#: Chunks a task counts at once, and those it adds to the table before it starts anew.
+COUNTED, ADDED = 400_000, 400_000
 #: Chunks are classed by 8 * log2 of their counts, to find the frequent ones.
 CLASSES_PER_BIT = 8
-#: Texts whose chunks a task remembers to have sent.
-SEEN = 200_000
 
 
 @dataclass
@@ -60,10 +58,13 @@ class Vocabulary:
     def packed(self) -> np.dtype:
         return np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
 
-    def segment(self, chunk: str) -> list[int]:
+    @cached_property
+    def wall(self) -> int:
+        return len(self.processor.encode(WALL))
+
+    def pack(self, chunk: str) -> bytes:
         """Ids of one chunk, taken behind a wall so that no marker is put before it."""
-        ids = self.processor.encode(WALL + chunk)
-        return ids[len(self.processor.encode(WALL)):]
+        return np.array(self.processor.encode(WALL + chunk)[self.wall:], self.packed).tobytes()
 
     def cutter(self):
         """A function from a text to its chunks; an empty text has none."""
@@ -102,14 +103,9 @@ def read_vocabulary(path: str = MODEL) -> Vocabulary:
     return vocabulary
 
 
-def text_key(text: Column) -> Column:
-    """16 bytes that stand for a text."""
-    return F.unhex(F.md5(text.cast("binary")))
-
-
-def chunk_table(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
-    """Every distinct chunk of the texts with ``n``, how often it occurs, and ``ids``, packed.
-    Chunks are counted in tasks before they are shuffled, then segmented once each."""
+def chunk_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+    """Every distinct chunk of the texts with ``n``, how often it occurs, counted in tasks
+    before it is shuffled."""
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
         cut, counts = vocabulary.cutter(), Counter()
         for text, in rows:
@@ -119,32 +115,46 @@ def chunk_table(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
                 counts = Counter()
         yield from counts.items()
 
-    def segment(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for chunk, n in rows:
-            yield chunk, n, np.array(vocabulary.segment(chunk), vocabulary.packed).tobytes()
-
     counted = map_rows(docs.select(F.coalesce(text_col, F.lit(""))), count, "chunk string, n bigint")
-    distinct = counted.groupBy("chunk").agg(F.sum("n").alias("n"))
-    return keep(map_rows(distinct, segment, "chunk string, n bigint, ids binary"))
+    return keep(counted.groupBy("chunk").agg(F.sum("n").alias("n")))
 
 
-def frequent(chunks: DataFrame, limit: int = HEAD) -> tuple[dict[str, bytes], DataFrame]:
-    """The most frequent chunks as a dictionary of at most ``limit`` chunks and ``HEAD_CHARS``
-    characters, and the rows of all others.  Classes of counts say how far down it reaches."""
+def frequent(counts: DataFrame, limit: int = HEAD) -> DataFrame:
+    """The most frequent of the counted chunks, ``limit`` chunks and ``HEAD_CHARS`` characters
+    at most.  Classes of counts say how far down they reach."""
     level = F.floor(F.log2("n") * CLASSES_PER_BIT).cast("int")
     short = F.length("chunk") <= LONGEST
-    sizes = chunks.where(short).groupBy(level.alias("level")).agg(F.count(F.lit(1)), F.sum(F.length("chunk")))
+    sizes = counts.where(short).groupBy(level.alias("level")).agg(F.count(F.lit(1)), F.sum(F.length("chunk")))
     room, chars, lowest = limit, HEAD_CHARS, None
     for reached, n, length in sorted(sizes.collect(), reverse=True):
         room, chars = room - n, chars - length
         if min(room, chars) < 0:
             break
         lowest = reached
-    if lowest is None:
-        return {}, chunks
-    head = short & (level >= lowest)
-    rows = chunks.where(head).select("chunk", "ids").toPandas()
-    return dict(zip(rows["chunk"], map(bytes, rows["ids"]))), chunks.where(~head)
+    return counts.where(F.lit(False) if lowest is None else short & (level >= lowest))
+
+
+def segment_all(chunks: DataFrame, vocabulary: Vocabulary) -> dict[str, bytes]:
+    """The packed ids of chunks of bounded number and size."""
+    def segment(rows: Iterator[tuple]) -> Iterator[tuple]:
+        return ((chunk, vocabulary.pack(chunk)) for chunk, in rows)
+
+    rows = map_rows(chunks.select("chunk"), segment, "chunk string, ids binary").toPandas()
+    return dict(zip(rows["chunk"], map(bytes, rows["ids"])))
+
+
+class ChunkTable(dict):
+    """Packed ids by chunk; a chunk that is not in the table is segmented and added."""
+
+    def __init__(self, known: dict[str, bytes], vocabulary: Vocabulary):
+        super().__init__(known)
+        self.pack, self.bound = vocabulary.pack, len(known) + ADDED
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.pack(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", head: int = HEAD) -> DataFrame:
@@ -152,64 +162,23 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", head
     them, without begin and end.  A column of that name is replaced.  NULL and empty texts have
     no ids; an empty table stays empty; repeated rows are all kept.
 
-    Frequent chunks, at most ``head``, are sent to every task; the places of the others are
-    filled from a join by chunk, gathered by text.  Equal texts are filled once, and a text
-    that very many rows hold is split by the join of rows to fillings as AQE finds it."""
-    spark: SparkSession = docs.sparkSession
-    chunks = chunk_table(docs, vocabulary, text_col)
-    known, rare = frequent(chunks, head)
-    sent = spark.sparkContext.broadcast(known)
-
-    def gaps(rows: Iterator[tuple]) -> Iterator[tuple]:
-        cut, table, seen = vocabulary.cutter(), sent.value, set()
-        for key, text in rows:
-            if key in seen:
-                continue
-            if len(seen) >= SEEN:
-                seen.clear()
-            seen.add(key)
-            yield from ((key, place, chunk) for place, chunk in enumerate(c for c in cut(text) if c not in table))
-
-    @F.pandas_udf("ids binary, gaps binary")
-    def look_up(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cut, get = vocabulary.cutter(), sent.value.get
-        for texts in parts:
-            found, gaps = [], []
-            for text in texts:
-                ids = list(map(get, cut(text)))
-                where = np.array([], "<u4")
-                if None in ids:
-                    ends = np.cumsum([len(i) if i is not None else 0 for i in ids])
-                    where = (ends[[i is None for i in ids]] // vocabulary.packed.itemsize).astype("<u4")
-                    ids = [i for i in ids if i is not None]
-                found.append(b"".join(ids))
-                gaps.append(where.tobytes())
-            yield pd.DataFrame({"ids": found, "gaps": gaps})
+    At most ``head`` frequent chunks are segmented once for all texts; of the others, a task
+    holds at most ``ADDED`` at a time.  Texts and their ids are never shuffled."""
+    known = segment_all(frequent(chunk_counts(docs, vocabulary, text_col), head), vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     @F.pandas_udf("array<int>")
-    def fill(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for found, gaps, fillings in parts:
+    def look_up(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cut, table = vocabulary.cutter(), ChunkTable(sent.value, vocabulary)
+        for texts in parts:
             out = []
-            for ids, where, filling in zip(found, gaps, fillings):
-                pieces = np.frombuffer(ids, vocabulary.packed).astype(np.int32)
-                if where:
-                    runs = np.split(pieces, np.frombuffer(where, "<u4"))
-                    more = [np.frombuffer(f, vocabulary.packed).astype(np.int32) for f in filling]
-                    pieces = np.concatenate([x for pair in zip(runs, more) for x in pair] + runs[-1:])
-                out.append(pieces)
+            for text in texts:
+                if len(table) > table.bound:
+                    table = ChunkTable(sent.value, vocabulary)
+                out.append(np.frombuffer(b"".join(map(table.__getitem__, cut(text))), vocabulary.packed).astype(np.int32))
             yield pd.Series(out, dtype=object)
 
-    docs = docs.drop("ids")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), text_key(text).alias("key"), text.alias("text"))
-    holes = map_rows(rows.select("key", "text"), gaps, "key binary, place int, chunk string")
-    named = holes.join(rare.select("chunk", "ids"), "chunk").select("key", "place", "ids")
-    # equal texts in several tasks send a place several times
-    places = F.sort_array(F.collect_set(F.struct("place", "ids")))
-    filled = keep(named.groupBy("key").agg(places["ids"].alias("filling")))
-    looked = rows.withColumn("found", look_up("text")).drop("text")
-    looked = looked.select("row", "key", "found.ids", "found.gaps").join(filled, "key", "left")
-    return looked.select("row.*", fill("ids", "gaps", F.coalesce("filling", F.array().cast("array<binary>"))).alias("ids"))
+    return docs.drop("ids").withColumn("ids", look_up(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

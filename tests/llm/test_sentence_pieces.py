@@ -42,17 +42,37 @@ def test_random_texts(spark, vocabulary):
 
 def test_every_chunk_once(spark, docs_of, vocabulary):
     docs = docs_of([(1, "a bb a"), (2, "bb a"), (3, None)])
-    rows = {r["chunk"]: r["n"] for r in S.chunk_table(docs, vocabulary).collect()}
+    rows = {r["chunk"]: r["n"] for r in S.chunk_counts(docs, vocabulary).collect()}
     assert rows == {"▁a": 3, "▁bb": 2}
+    known = S.segment_all(S.frequent(S.chunk_counts(docs, vocabulary)), vocabulary)
+    assert set(known) == {"▁a", "▁bb"} and known["▁a"] == vocabulary.pack("▁a")
 
 
-def test_head_is_bounded(spark, vocabulary):
-    chunks = spark.createDataFrame([(f"c{i}", 1 + i, b"") for i in range(100)], "chunk string, n bigint, ids binary")
+def test_a_task_adds_a_chunk_once(vocabulary, monkeypatch):
+    made = []
+    pack = S.Vocabulary.pack
+    monkeypatch.setattr(S.Vocabulary, "pack", lambda self, chunk: (made.append(chunk), pack(self, chunk))[1])
+    table = S.ChunkTable({"▁a": b"known"}, vocabulary)
+    assert [table[c] for c in ("▁a", "▁b", "▁b")] == [b"known", pack(vocabulary, "▁b"), pack(vocabulary, "▁b")]
+    assert made == ["▁b"]
+    table["x" * S.LONGEST]
+    table["x" * (S.LONGEST + 1)]
+    assert len(table) == 3 <= table.bound
+
+
+def test_head_is_bounded(spark, vocabulary, monkeypatch):
+    counts = spark.createDataFrame([(f"c{i}", 1 + i) for i in range(100)], "chunk string, n bigint")
     for limit in (0, 5, 30, 1000):
-        known, rare = S.frequent(chunks, limit)
-        assert len(known) <= limit and len(known) + rare.count() == 100
-        if known:
-            assert min(int(c[1:]) for c in known) > max((int(r["chunk"][1:]) for r in rare.collect()), default=-1)
+        known = {int(r["chunk"][1:]) for r in S.frequent(counts, limit).collect()}
+        assert len(known) <= limit and (limit < 5 or known) and min(known, default=100) == 100 - len(known)
+    monkeypatch.setattr(S, "HEAD_CHARS", 30)
+    assert 0 < S.frequent(counts, 1000).count() <= 10
+
+
+def test_table_starts_anew(spark, docs_of, vocabulary, monkeypatch):
+    monkeypatch.setattr(S, "ADDED", 3)
+    docs = docs_of([(i, f"word{i} other{i} more{i % 7}") for i in range(50)])
+    check(S.decode(S.encode(docs, vocabulary, head=2), vocabulary).collect(), vocabulary)
 
 
 def test_tables_and_columns(spark, docs_of, vocabulary):
