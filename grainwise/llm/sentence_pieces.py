@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +30,9 @@ WALL = "\ue000"
 #: What an unsuitable model (one that changes texts) does not give back.
 PROBE = "  ﬁ Ａ x  "
 #: Chunks looked up where texts lie, the characters of one and of all of them at most.
-HEAD, LONGEST, HEAD_CHARS = 250_000, 4096, 16 << 20
+HEAD, LONGEST, HEAD_CHARS = 150_000, 4096, 16 << 20
 #: Chunks a task counts at once, and those it adds to the table before it starts anew.
-COUNTED, ADDED = 400_000, 400_000
+COUNTED, ADDED = 250_000, 150_000
 #: Chunks are classed by 8 * log2 of their counts, to find the frequent ones.
 CLASSES_PER_BIT = 8
 
@@ -167,16 +167,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", head
     known = segment_all(frequent(chunk_counts(docs, vocabulary, text_col), head), vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
-    @F.pandas_udf("array<int>")
-    def look_up(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def look_up(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cut, table = vocabulary.cutter(), ChunkTable(sent.value, vocabulary)
         for texts in parts:
-            out = []
+            packed = []
             for text in texts:
                 if len(table) > table.bound:
                     table = ChunkTable(sent.value, vocabulary)
-                out.append(np.frombuffer(b"".join(map(table.__getitem__, cut(text))), vocabulary.packed).astype(np.int32))
-            yield pd.Series(out, dtype=object)
+                packed.append(b"".join(map(table.__getitem__, cut(text.as_py()))))
+            ends = np.cumsum([0, *map(len, packed)]) // vocabulary.packed.itemsize
+            ids = np.frombuffer(b"".join(packed), vocabulary.packed).astype(np.int32)
+            yield pa.ListArray.from_arrays(ends.astype(np.int32), ids)
 
     return docs.drop("ids").withColumn("ids", look_up(F.coalesce(F.col(text_col), F.lit(""))))
 
@@ -184,10 +186,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", head
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text that its ids stand for, as the library puts it together.  NULL
     and empty ids give an empty text; a column of that name is replaced."""
-    @F.pandas_udf("string")
-    def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in parts:
-            yield pd.Series([vocabulary.processor.decode(i.tolist()) if len(i) else "" for i in ids], dtype=object)
+    @F.arrow_udf("string")
+    def text(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decode = vocabulary.processor.decode
+        for rows in parts:
+            yield pa.array((decode(ids.values.to_numpy().tolist()) if len(ids) else "" for ids in rows), pa.string())
 
     ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
     return encoded.drop(text_col).withColumn(text_col, text(ids))
