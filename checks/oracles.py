@@ -72,6 +72,9 @@ HOT = ("WITH hot AS (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 1 ELSE us
 TEXTED = ("WITH texted AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN lpad(user_id::VARCHAR, 12, '0') "
           "ELSE user_id::VARCHAR END AS user_text FROM events) ")
 
+SPANS = ("WITH spans AS (SELECT s_suppkey, s_nationkey, s_acctbal AS low, s_acctbal + CASE WHEN s_suppkey % 5 = 0 THEN -80 "
+         "ELSE 250 END AS high FROM supplier) ")
+
 
 def kept_by_key(key: str, fraction: float) -> str:
     """Whether the first 60 bits of the key's md5, as a share of all, lie below the fraction."""
@@ -205,6 +208,14 @@ FROM (SELECT user_text, count(*) AS n FROM texted GROUP BY user_text)""",
     "steps_interval": steps("customer c", [
         J("RIGHT", "RIGHT JOIN supplier s ON c.c_acctbal >= s.s_acctbal AND c.c_acctbal < s.s_acctbal + 250"),
         J("LEFT", "LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey", "s.s_nationkey", "nation", "n_nationkey")]),
+    "steps_interval_counted": steps("customer c", [
+        J("LEFT", "LEFT JOIN spans s ON c.c_acctbal >= s.low AND c.c_acctbal < s.high"),
+        J("RIGHT", "RIGHT JOIN spans n ON c.c_nationkey = n.s_nationkey AND c.c_acctbal BETWEEN n.low AND n.high",
+          "c.c_nationkey", "spans", "s_nationkey", equi=False),
+        J("INNER", "JOIN orders o ON c.c_custkey = o.o_custkey", "c.c_custkey", "orders", "o_custkey")], SPANS),
+    "steps_interval_of_the_left": steps("spans s", [
+        J("RIGHT", "RIGHT JOIN customer c ON s.low < c.c_acctbal AND c.c_acctbal <= s.high"),
+        J("LEFT", "LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey", "s.s_nationkey", "nation", "n_nationkey")], SPANS),
     "steps_right": steps("lineitem l", [
         J("RIGHT", "RIGHT JOIN orders o ON l.l_orderkey = o.o_orderkey", "l.l_orderkey", "orders",
           "o_orderkey"),

@@ -196,6 +196,30 @@ def steps_interval(t):
         Join(t.nation, "n", "left", on=[("s.s_nationkey", "n_nationkey")])]))
 
 
+def with_spans(t: Tables) -> DataFrame:
+    """Suppliers with an interval of balances; one in five ends before it starts."""
+    return t.supplier.select("s_suppkey", "s_nationkey", F.col("s_acctbal").alias("low"),
+                             (F.col("s_acctbal") + F.when(F.col("s_suppkey") % 5 == 0, -80).otherwise(250)).alias("high"))
+
+
+@query
+def steps_interval_counted(t):
+    """Intervals that no later join reads: counted by running sums, per key and without one."""
+    return steps(JoinChain(t.customer, "c", [
+        Join(with_spans(t), "s", "left", residual="c.c_acctbal >= s.low AND c.c_acctbal < s.high", name="supplier"),
+        Join(with_spans(t), "n", "right", on=[("c.c_nationkey", "s_nationkey")], name="supplier",
+             residual="c.c_acctbal BETWEEN n.low AND n.high"),
+        Join(t.orders, "o", on=[("c.c_custkey", "o_custkey")])]))
+
+
+@query
+def steps_interval_of_the_left(t):
+    """The bounds stand on the left side, the values on the right."""
+    return steps(JoinChain(with_spans(t), "s", [
+        Join(t.customer, "c", "right", residual="s.low < c.c_acctbal AND c.c_acctbal <= s.high", name="customer"),
+        Join(t.nation, "n", "left", on=[("s.s_nationkey", "n_nationkey")])]))
+
+
 @query
 def steps_right(t):
     return steps(JoinChain(t.lineitem, "l", [

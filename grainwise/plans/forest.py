@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.plans.alternatives import alternatives, met_rows, with_hits
+from grainwise.plans.intervals import interval
 from grainwise.plans.pairs import without_pairs
 from grainwise.plans.ranges import common_type, comparison, range_matches
 from grainwise.plans.spec import BoundChain, BoundJoin, Ref, quoted
@@ -650,45 +651,52 @@ class Forest:
         return state, exprs if owner is not None else None, counts
 
     def _measure_range(self, i: int) -> Counts | None:
-        """Counts a join whose further condition is one comparison, by running sums; None
-        if it is not, or if later joins read columns of its right side."""
+        """Counts a join whose further condition is one comparison, or holds a value within an
+        interval, by running sums; None if it is neither, or if later joins read columns of
+        its right side."""
         b = self.chain.joins[i]
-        found, later = comparison(self.chain, b), self._left_only(i)
-        if found is None or later is None:
+        one, span, later = comparison(self.chain, b), interval(self.chain, b), self._left_only(i)
+        if (one is None and span is None) or later is None:
             return None
-        value, op, right_col = found
+        left_at, right_at = (span.left, span.right) if span else ({"v": one[0]}, {"v": one[2]})
         state, exprs, counts = self._profile_joint(i)
-        if exprs is None or self.chain.physical(value) not in state.df.columns:
+        refs = {name: self.chain.physical(r) for name, r in left_at.items()}
+        if exprs is None or not set(refs.values()) <= set(state.df.columns):
             return None
-        keys = [f"k{n}" for n in range(len(exprs))]
-        x = self.chain.physical(value)
-        type_ = common_type(state.df.schema[x].dataType, b.join.df.schema[right_col].dataType)
+        keys, at = [f"k{n}" for n in range(len(exprs))], list(refs)
+        type_ = span.type_ if span else common_type(state.df.schema[refs["v"]].dataType, b.join.df.schema[one[2]].dataType)
         measures = measure_names(self.n_measures)
-        owned = state.df.select("*", *self._cast(b, exprs, "k"), quoted(x).cast(type_).alias("v"))
-        left = owned.groupBy(*keys, "v").agg(F.sum(W).alias("lw"), F.count(F.lit(1)).alias("lt"),
+        owned = state.df.select("*", *self._cast(b, exprs, "k"), *[quoted(c).cast(type_).alias(n) for n, c in refs.items()])
+        left = owned.groupBy(*keys, *at).agg(F.sum(W).alias("lw"), F.count(F.lit(1)).alias("lt"),
                                              *[F.sum(m).alias(m) for m in measures])
         right = b.join.df.select(*self._cast(b, [quoted(c) for c in b.right], "k"),
-                                 quoted(right_col).cast(type_).alias("v"))
-        right = right.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("rw"))
-        both = range_matches(left, right, keys, op, measures, self.partitions)
+                                 *[quoted(c).cast(type_).alias(n) for n, c in right_at.items()])
+        right = right.groupBy(*keys, *right_at).agg(F.count(F.lit(1)).alias("rw"))
+        if span:
+            both, right = span.matches(left, right, keys, measures, self.partitions, self._find_repeated(max(counts.rows_before, counts.n_rows)))
+        else:
+            both = right = range_matches(left, right, keys, one[1], measures, self.partitions)
         last = i == len(self.chain.joins) - 1
         if not last:
             both = self.shelf.hold(both)
-        hit = "hits > 0 AND lw > 0"
-        sums = [*self._hit_sums(b, "lw"), "sum(rw) FILTER (WHERE found > 0)", "sum(lt)", "max(lt)"]
+        hit, met = "hits > 0 AND lw > 0", "sum(rw) FILTER (WHERE found > 0)"
+        sums = [*self._hit_sums(b, "lw"), *([met] if not span else []), "sum(lt)", "max(lt)"]
         got = both.agg(*[F.expr(e).alias(f"a{n}") for n, e in enumerate(sums)]).first()
-        right_rest = self._count_hits(b, counts, got, counts.n_rows - int(got[-3] or 0))
+        right_rest = 0
+        if b.how in ("right", "full"):
+            right_rest = counts.n_rows - int((right.agg(F.expr(met)).first()[0] if span else got[-3]) or 0)
+        self._count_hits(b, counts, got, right_rest)
         most = int(got[2] or 0)
 
         def state_after() -> DataFrame:
             needed = {self.chain.physical(r) for r in later}
             cols = [c for c in state.df.columns if c in needed]
-            factor = both.where(F.expr(hit)).select(*keys, "v", F.col("hits").alias(W))
+            factor = both.where(F.expr(hit)).select(*keys, *at, F.col("hits").alias(W))
             how = {"right": "inner", "full": "left", "semi": "inner", "anti": "left"}.get(b.how, b.how)
             if b.how in ("semi", "anti"):
                 factor = factor.withColumn(W, F.lit(1 if b.how == "semi" else 0))
-            names = {c: f"__{c}" for c in [*keys, "v"]}
-            hot = self._hot_keys(both, [*keys, "v"], "lt", got[-1], got[-2])
+            names = {c: f"__{c}" for c in [*keys, *at]}
+            hot = self._hot_keys(both, [*keys, *at], "lt", got[-1], got[-2])
             df = combine(owned.withColumnsRenamed(names), factor, [(n, c) for c, n in names.items()], how,
                          cols, self.n_measures, weight_type(state.bound * max(1, most)), hot_left=hot)
             return df.where(F.col(W) > 0) if b.how == "anti" else df
@@ -696,6 +704,18 @@ class Forest:
         self._next = lambda: self._state_parts(b, state, state_after(), most, right_rest)
         return counts
 
+    def _find_repeated(self, rows: int) -> Callable[[DataFrame, list[str]], Hot | None]:
+        """Finds the values that too many tuples of a frame hold; none are looked for in a
+        frame of few rows."""
+        def find(df: DataFrame, cols: list[str]) -> Hot | None:
+            if rows <= self.hot_floor:
+                return None
+            sizes = df.groupBy(*map(quoted, cols)).agg(F.count(F.lit(1)).alias("size")).dropna(subset=cols)
+            worst, total = sizes.agg(F.max("size"), F.sum("size")).first()
+            return self._hot_keys(sizes, cols, "size", worst, total)
+
+        return find
+
     def _hit_sums(self, b: BoundJoin, w: str) -> list[str]:
         """SQL sums over tuples with weight ``w`` and ``hits``: joined rows, rows with a match,
         most hits, then the measures after the join."""
@@ -754,21 +774,14 @@ class Forest:
         owned = state.df.select("*", *self._cast(b, exprs, "k"), *as_compared(lefts, "x"))
         right = b.join.df.select(*self._cast(b, [quoted(c) for c in b.right], "k"), *as_compared([c for _, c in found], "y"))
 
-        def find_hot(df: DataFrame, cols: list[str]) -> Hot | None:
-            sizes = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("size")).dropna(subset=cols)
-            worst, total = sizes.agg(F.max("size"), F.sum("size")).first()
-            return self._hot_keys(sizes, cols, "size", worst, total)
-
-        hits = with_hits(owned, right, keys, n, find_hot if counts.rows_before > self.hot_floor
-                         else lambda df, cols: None)
+        hits = with_hits(owned, right, keys, n, self._find_repeated(counts.rows_before))
         last = i == len(self.chain.joins) - 1
         if not last:
             hits = self.shelf.keep(hits)
         got = hits.agg(*[F.expr(e).alias(f"a{m}") for m, e in enumerate(self._hit_sums(b, W))]).first()
         rest = 0
         if b.how in ("right", "full"):
-            met = met_rows(owned, right, keys, n, find_hot if counts.n_rows > self.hot_floor
-                           else lambda df, cols: None)
+            met = met_rows(owned, right, keys, n, self._find_repeated(counts.n_rows))
             rest = counts.n_rows - int(met.first()[0])
         self._count_hits(b, counts, got, rest)
         most = int(got[2] or 0)

@@ -21,8 +21,8 @@ from grainwise.plans.spec import BoundChain, BoundJoin, Ref
 
 Join = Callable[[DataFrame, DataFrame, Column, str], DataFrame]
 
-_SIDES = re.compile(r"\(?\s*(\w+)\.(\w+)\s*(<=|>=|<|>)\s*(\w+)\.(\w+)\s*\)?")
-_BETWEEN = re.compile(r"(\w+\.\w+)\s+BETWEEN\s+(\w+\.\w+)\s+AND\s+(\w+\.\w+)", re.IGNORECASE)
+SIDES = re.compile(r"\(?\s*(\w+)\.(\w+)\s*(<=|>=|<|>)\s*(\w+)\.(\w+)\s*\)?")
+BETWEEN = re.compile(r"(\w+\.\w+)\s+BETWEEN\s+(\w+\.\w+)\s+AND\s+(\w+\.\w+)", re.IGNORECASE)
 
 
 @dataclass
@@ -38,13 +38,13 @@ class Bounds:
 def bounds(chain: BoundChain, b: BoundJoin) -> Bounds | None:
     """The left column that the further condition of ``b`` bounds most often, if all of its
     parts must hold."""
-    text = _BETWEEN.sub(r"\1 >= \2 AND \1 <= \3", b.join.residual or "")
+    text = BETWEEN.sub(r"\1 >= \2 AND \1 <= \3", b.join.residual or "")
     if re.search(r"\b(OR|NOT|CASE)\b", text, re.IGNORECASE):
         return None
     found: dict[Ref, Bounds] = {}
     own = b.join.alias.lower()
     for part in re.split(r"\s+AND\s+", text.strip(), flags=re.IGNORECASE):
-        m = _SIDES.fullmatch(part.strip())
+        m = SIDES.fullmatch(part.strip())
         if not m or (m[1].lower() == own) == (m[4].lower() == own):
             continue
         left, op, right = ((m[4], m[5]), MIRRORED[m[3]], m[2]) if m[1].lower() == own else ((m[1], m[2]), m[3], m[5])

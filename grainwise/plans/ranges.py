@@ -67,46 +67,50 @@ def bucket_of(value: Column, cuts: list) -> Column:
     return F.when(value.isNotNull(), (start + below).cast("int"))
 
 
+def running(points: DataFrame, keys: Sequence[str], sums: Sequence[str], cuts: list) -> DataFrame:
+    """``points`` (one row per ``keys`` and value ``v``) with, for each of ``sums``, ``<c>_upto``,
+    its sum over the key's values up to this one, and ``<c>_all``, over all of them.
+
+    Values are cut into buckets of about equal size, so the running sums of one key, or of no
+    key at all, spread over many tasks."""
+    own = list(map(quoted, keys))
+    points = points.withColumn("bucket", bucket_of(F.col("v"), cuts))
+    here = Window.partitionBy(*own, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = points.withColumns({f"{c}_upto": F.sum(c).over(here) for c in sums})
+    # at most one row per bucket and key
+    totals = points.groupBy(*own, "bucket").agg(*[F.sum(c).alias(f"{c}_here") for c in sums])
+    per_key = Window.partitionBy(*(own or [F.lit(0)]))
+    before = per_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({
+        **{f"{c}_before": F.coalesce(F.sum(f"{c}_here").over(before), F.lit(0)) for c in sums},
+        **{f"{c}_all": F.sum(f"{c}_here").over(per_key) for c in sums}}).drop(*[f"{c}_here" for c in sums])
+    points = points.join(totals, [*keys, "bucket"]).drop("bucket")
+    return points.withColumns({f"{c}_upto": F.col(f"{c}_before") + F.col(f"{c}_upto") for c in sums}).drop(*[f"{c}_before" for c in sums])
+
+
 def range_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], op: str, extra: Sequence[str],
                   partitions: int) -> DataFrame:
     """Per key and value ``v``: ``lw`` left and ``rw`` right rows, ``hits`` right rows that a
     left row here matches, ``found`` left rows that a right row here matches.
 
     ``left`` has columns ``keys, v, lw, lt`` and ``extra``, ``right`` has ``keys, v, rw``,
-    one row per key and value.  Values are cut into buckets of about equal size, so the
-    running sums of one key, or of no key at all, spread over many tasks.
+    one row per key and value.
     """
     cuts = cut_points(left.select("v").union(right.select("v")), partitions)
-    bucket = bucket_of(F.col("v"), cuts)
-
     cols = [*map(quoted, keys), F.col("v")]
     valid = reduce(lambda x, y: x & y, [c.isNotNull() for c in cols])
     sums = ["lw", "lt", "rw", *extra]
     both = left.where(valid).unionByName(right.where(valid), allowMissingColumns=True)
-    both = both.groupBy(*cols).agg(*[F.sum(c).alias(c) for c in sums]).withColumn("bucket", bucket)
-    both = both.fillna(0, ["lw", "lt", "rw"])
-
-    within = Window.partitionBy(*map(quoted, keys), "bucket")
-    here = within.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumns({"l_to": F.sum("lw").over(here), "r_to": F.sum("rw").over(here)})
-    # at most `buckets` rows per key
-    totals = both.groupBy(*map(quoted, keys), "bucket").agg(F.sum("lw").alias("tl"), F.sum("rw").alias("tr"))
-    per_key = Window.partitionBy(*(map(quoted, keys) if keys else [F.lit(0)]))
-    before = per_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumns({
-        "l_before": F.coalesce(F.sum("tl").over(before), F.lit(0)), "l_all": F.sum("tl").over(per_key),
-        "r_before": F.coalesce(F.sum("tr").over(before), F.lit(0)), "r_all": F.sum("tr").over(per_key),
-    }).drop("tl", "tr")
-    both = both.join(totals, [*keys, "bucket"])
+    both = both.groupBy(*cols).agg(*[F.sum(c).alias(c) for c in sums]).fillna(0, ["lw", "lt", "rw"])
+    both = running(both, keys, ["lw", "rw"], cuts)
 
-    def matching(side: str, own: str, op: str):
-        """Rows of ``side`` whose value stands in relation ``op`` to this row's value."""
-        up_to = F.col(f"{side}_before") + F.col(f"{side}_to")  # values <= v
-        return {"<=": up_to, "<": up_to - F.col(own), ">": F.col(f"{side}_all") - up_to,
-                ">=": F.col(f"{side}_all") - up_to + F.col(own)}[op]
+    def matching(own: str, op: str):
+        """Rows of the side weighted by ``own`` whose value stands in relation ``op`` to this row's."""
+        up_to = F.col(f"{own}_upto")  # values <= v
+        return {"<=": up_to, "<": up_to - F.col(own), ">": F.col(f"{own}_all") - up_to,
+                ">=": F.col(f"{own}_all") - up_to + F.col(own)}[op]
 
     # left v `op` right value, hence the right value stands in the mirrored relation to v
-    out = both.select(*cols, *sums, matching("r", "rw", MIRRORED[op]).alias("hits"),
-                      matching("l", "lw", op).alias("found"))
+    out = both.select(*cols, *sums, matching("rw", MIRRORED[op]).alias("hits"), matching("lw", op).alias("found"))
     rest = left.where(~valid).withColumns({"rw": F.lit(0), "hits": F.lit(0), "found": F.lit(0)})
     return out.unionByName(rest.select(*out.columns))

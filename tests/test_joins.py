@@ -355,3 +355,52 @@ def test_sums_keep_every_digit(spark):
     exact = {x.expression: (x.base_exact, x.joined_exact) for x in r.risk_list}
     assert exact["SUM(a.v)"] == (str(2**53 + 3), str(3 * (2**53 + 3)))
     assert exact["SUM(a.d)"] == (f"{2**53 + 3}.00000002", f"{3 * (2**53 + 3)}.00000006")
+
+
+@pytest.mark.parametrize("how, low, high, keyed, turned, floor", [
+    ("inner", ">=", "<", True, False, 1), ("left", ">", "<=", False, False, 10_000), ("right", ">=", "<=", True, False, 1),
+    ("full", ">", "<", False, True, 10_000), ("full", ">=", "<", True, True, 1), ("semi", ">", "<=", True, True, 10_000),
+    ("anti", ">=", "<=", False, True, 1), ("anti", ">=", "<", True, False, 10_000)])
+def test_intervals_are_counted(spark, how, low, high, keyed, turned, floor, monkeypatch):
+    """A value within bounds of the other side, on either side, with and without a key; some
+    intervals end before they start, are empty, or miss a bound."""
+    monkeypatch.setattr("grainwise.plans.forest.Forest._measure_real", None)
+    a = spark.createDataFrame([(i % 3 if i % 8 else None, i % 11 if i % 7 else None) for i in range(50)], "k int, v int")
+    b = spark.createDataFrame([(i % 4 if i % 9 else None, i % 6 if i % 5 else None, (i * 7) % 10 if i % 6 else None, i)
+                               for i in range(40)], "k int, lo bigint, hi bigint, v int")
+    few = spark.createDataFrame([(i % 3,) for i in range(5)], "k int")
+    residual = f"a.v {low} b.lo AND b.hi {'>' + high[1:]} a.v"
+    if turned:
+        a, b, residual = b, a, f"(b.v {low} a.lo) AND b.v {high} a.hi"
+    chain = JoinChain(a.coalesce(1), "a", [
+        Join(b.coalesce(1), "b", how, on=[("a.k", "k")] if keyed else [], residual=residual),
+        Join(few, "c", "left", on=[("a.k", "k")])], select=["a.v"], aggs=[Agg("sum", "a.v")])
+    r = audit(chain, fixes=False, exact_duplicates=False, hot_floor=floor)
+    assert [s.rows_after for s in r.step_list] == [chain.to_df(n).count() for n in (1, 2)]
+    assert not r.risk_list or r.risk_list[0].joined_value == chain.to_df().agg(F.sum("v")).first()[0]
+
+
+def test_between_dates_is_counted(spark, monkeypatch):
+    monkeypatch.setattr("grainwise.plans.forest.Forest._measure_real", None)
+    days = spark.range(60).select(F.expr("date'2024-01-01' + cast(id % 40 as int)").alias("d"), "id")
+    spans = spark.range(12).select(F.expr("date'2024-01-01' + cast(3 * id as int)").alias("first"),
+                                   F.expr("date'2024-01-05' + cast(2 * id as int)").alias("last"))
+    check(JoinChain(days, "d", [Join(spans, "s", "full", residual="d.d BETWEEN s.first AND s.last")], select=["d.id"]))
+
+
+def test_interval_plan_joins_no_pairs(spark):
+    """The only joins look sums up by key and value."""
+    from grainwise.plans.intervals import interval
+
+    values = spark.range(100).select((F.col("id") % 10).alias("k"), F.col("id").alias("v"))
+    spans = spark.range(30).select((F.col("id") % 10).alias("k"), F.col("id").alias("lo"), (F.col("id") + 20).alias("hi"))
+    bound = JoinChain(values, "a", [Join(spans, "b", on=[("a.k", "k")], residual="a.v >= b.lo AND a.v < b.hi")]).bind()
+    found = interval(bound, bound.joins[0])
+    assert found.closed == (True, False) and set(found.left) == {"v"}
+    left = values.groupBy(F.col("k").alias("k0"), "v").agg(F.count(F.lit(1)).alias("lw"), F.count(F.lit(1)).alias("lt"))
+    right = spans.groupBy(F.col("k").alias("k0"), "lo", "hi").agg(F.count(F.lit(1)).alias("rw"))
+    for df in found.matches(left, right, ["k0"], [], 4, lambda df, cols: None):
+        plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        joins = [line for line in plan.split("\n") if "Join" in line]
+        assert joins and "NestedLoop" not in plan and "Cartesian" not in plan
+        assert all("<" not in line and ">" not in line for line in joins)
