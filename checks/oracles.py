@@ -246,6 +246,12 @@ FROM (SELECT user_text, count(*) AS n FROM texted GROUP BY user_text)""",
     "steps_multi_key": steps("lineitem a", [
         J("INNER", "JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey",
           "a.l_partkey, a.l_suppkey", "lineitem", "l_partkey, l_suppkey")]),
+    "steps_keys_of_siblings": steps("customer c", [
+        ORDERS, EVENTS,
+        J("LEFT", "LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND e.event_id = l.l_partkey",
+          "o.o_orderkey, e.event_id", "lineitem", "l_orderkey, l_partkey"),
+        J("LEFT", "LEFT JOIN part p ON l.l_partkey = p.p_partkey", "l.l_partkey", "part", "p_partkey"),
+        J("SEMI", "SEMI JOIN labels b ON e.event_id = b.doc_id", "e.event_id", "labels", "doc_id")]),
     "steps_siblings": steps("customer c", [
         ORDERS, EVENTS, LINEITEM,
         J("LEFT", "LEFT JOIN documents d ON e.event_id = d.doc_id", "e.event_id", "documents", "doc_id")]),

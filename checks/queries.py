@@ -274,6 +274,17 @@ def steps_multi_key(t):
         Join(t.lineitem, "b", on=[("a.l_partkey", "l_partkey"), ("a.l_suppkey", "l_suppkey")])]))
 
 
+@query
+def steps_keys_of_siblings(t):
+    """A join by a key of each of two many-sides: their rows are never paired."""
+    chain = customer_orders_events(t)
+    return steps(chain.with_joins([
+        *chain.joins,
+        Join(t.lineitem, "l", "left", on=[("o.o_orderkey", "l_orderkey"), ("e.event_id", "l_partkey")], name="lineitem"),
+        Join(t.part, "p", "left", on=[("l.l_partkey", "p_partkey")]),
+        Join(t.labels, "b", "semi", on=[("e.event_id", "doc_id")])]))
+
+
 @query
 def steps_siblings(t):
     """Two many-sides of one table that later joins still read: never joined to each other."""

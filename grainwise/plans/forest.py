@@ -9,7 +9,7 @@ rows that share a key) are never built.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from decimal import Context, Decimal
 from functools import reduce
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainwise.plans.across import Across
 from grainwise.plans.alternatives import alternatives, met_rows, with_hits
 from grainwise.plans.intervals import interval
 from grainwise.plans.pairs import without_pairs
@@ -127,6 +128,7 @@ class Forest:
         self._right: DataFrame | None = None
         self._hot: tuple[Hot | None, Hot | None] = (None, None)
         self._next: Callable[[], list[Part]] | None = None
+        self._beyond: dict[str, int] = {}  # counts of left keys that the measured ones leave out
         self._owners: list[tuple[Part, Node | None, list[str]]] = []
         self._types: dict[tuple[int, int], str | None] = {}
 
@@ -262,8 +264,11 @@ class Forest:
     def measure(self, i: int) -> Counts:
         """Counts join ``i`` with one aggregate over the key counts of both sides."""
         b = self.chain.joins[i]
+        self._next, self._beyond = None, {}
         if b.reads_left:
             return self._measure_range(i) or self._measure_any(i) or self._measure_real(i)
+        if (across := Across.find(self, b)) is not None:
+            return self._measure_across(across)
         last = i == len(self.chain.joins) - 1
         self._hot = (None, None)
         left, right = self.left_keys(b), self.right_keys(b)
@@ -278,6 +283,18 @@ class Forest:
             self._hot = self._find_hot(b, row)
         return counts
 
+    def _measure_across(self, across: Across) -> Counts:
+        """Counts a join whose keys come from two inputs: only keys that the new input holds
+        are counted on the left; what the others hold follows from the rows so far."""
+        b = across.b
+        self._right = self.shelf.hold(self.right_keys(b))
+        self._left = self.shelf.hold(across.left_keys(self._right))
+        self._owners, self._hot = [(across.part, None, [])], (None, None)
+        worst, full = across.most_repeated()
+        self._beyond = {"l_rows": self.rows, "l_max": worst, "l_max_nn": full}
+        self._next = across.parts_after
+        return self._counts(b, self._stats(b, self._left, self._right))
+
     def _stats(self, b: BoundJoin, left: DataFrame, right: DataFrame):
         """Everything the step reports, as one row over the key counts of both sides.
 
@@ -319,7 +336,7 @@ class Forest:
 
     def _counts(self, b: BoundJoin, row) -> Counts:
         v = {k: (0 if x is None else int(x)) for k, x in row.asDict().items() if k[:2] not in
-             ("bs", "bc", "js", "jc")}
+             ("bs", "bc", "js", "jc")} | self._beyond
         if self.rows is None:
             self.rows = v["l_rows"]
             self.parts[0].root.bound = v["l_rows"]
@@ -385,7 +402,7 @@ class Forest:
     def advance(self, i: int, counts: Counts) -> None:
         """Replaces the state by the state after join ``i``."""
         b = self.chain.joins[i]
-        if b.reads_left:
+        if self._next is not None:
             self.parts = self._next()
         else:
             parts = [p for p, owner, exprs in self._owners if self._apply(p, owner, exprs, b)]
@@ -427,7 +444,7 @@ class Forest:
             owner.df = combine(owned, flag, pairs, "inner" if b.how == "semi" else "left", keep,
                                self._m(part, owner), weight_type(owner.bound), hot_left=hot_left)
             if b.how == "anti" and owner is part.root:
-                owner.df = owner.df.where(F.col(W) > 0)
+                owner.df = owner.df.where(F.col(W) != 0)
             owner.scan = False
             return True
 
@@ -538,22 +555,23 @@ class Forest:
         keys = [c for _, c in e.pairs]
         return regroup(self._fold(e.child), keys, 0, weight_type(e.child.bound))
 
-    def _fold(self, node: Node, skip: Edge | None = None) -> DataFrame:
+    def _fold(self, node: Node, skip: Sequence[Edge] = ()) -> DataFrame:
         """The node's tuples with the weight of everything below them, except ``skip``."""
         df = node.df
         for e in node.edges:
-            if e is not skip:
+            if not any(e is s for s in skip):
                 cols = [c for c in df.columns if c != W and not c.startswith(("__s", "__c"))]
                 measures = sum(c.startswith("__s") for c in df.columns)
                 df = combine(df, self._up(e), e.pairs, e.how, cols, measures, BIG, hot_left=e.hot_parent)
         return df
 
-    def _folded(self, part: Part, node: Node) -> DataFrame:
-        """The node's tuples weighted by the whole part, where the node is present."""
+    def _folded(self, part: Part, node: Node, skip: Sequence[Edge] = ()) -> DataFrame:
+        """The node's tuples weighted by the whole part, except ``skip`` below the node, where
+        the node is present."""
         path = part.path(node)
-        df = self._fold(part.root, path[0] if path else None)
+        df = self._fold(part.root, path[:1] or skip)
         for n, e in enumerate(path):
-            here = self._fold(e.child, path[n + 1] if n + 1 < len(path) else None)
+            here = self._fold(e.child, path[n + 1:n + 2] or skip)
             above = regroup(df, [a for a, _ in e.pairs], 0, BIG)
             cols = [c for c in here.columns if c != W]
             df = combine(here, above, [(c, a) for a, c in e.pairs], "inner", cols, 0, BIG,

@@ -187,6 +187,52 @@ def test_join_over_both_siblings(spark):
     check(chain)
 
 
+@pytest.mark.parametrize("how, first, second, read, floor", [
+    ("inner", "left", "left", True, 1), ("left", "left", "inner", True, 10_000), ("left", "left", "left", False, 1),
+    ("right", "inner", "left", False, 10_000), ("full", "left", "left", True, 1), ("semi", "left", "left", False, 10_000),
+    ("anti", "left", "left", False, 1)])
+def test_keys_from_two_siblings(spark, how, first, second, read, floor, monkeypatch):
+    """Nothing is flattened; counts, sums and the most repeated key tuple are those of the rows."""
+    monkeypatch.setattr(Forest, "_flatten", None)
+
+    def table(rows, names):
+        return spark.createDataFrame(rows, ", ".join(f"{n} bigint" for n in names.split())).coalesce(1)
+
+    base = table([(i % 3 if i % 5 else None, i) for i in range(7)], "k z")
+    left = table([(i % 2, i % 4) for i in range(12)] + [(None, 1), (1, None)], "k p")
+    right = table([(i % 3, i % 5) for i in range(14)] + [(0, None)], "k q")
+    both = table([(1, 1, 1), (1, 1, 2), (2, 3, 3), (2, 3, 3), (None, 3, 4), (3, 4, 5), (9, 9, 6)], "p q w")
+    few = table([(i % 6,) for i in range(9)], "w")
+    chain = JoinChain(base, "b", [
+        Join(left, "l", first, on=[("b.k", "k")]), Join(right, "r", second, on=[("b.k", "k")]),
+        Join(both, "x", how, on=[("l.p", "p"), ("r.q", "q")]), Join(few, "y", "left", on=[("x.w" if read else "b.z", "w")]),
+        Join(few, "u", "anti", on=[("r.q", "w")])], select=["b.z"], aggs=[Agg("sum", "b.z")])
+    r = audit(chain, fixes=False, exact_duplicates=False, hot_floor=floor)
+    assert [s.rows_after for s in r.step_list] == [chain.to_df(n).count() for n in range(1, 6)]
+    sizes = chain.to_df(2).groupBy("p", "q").count()
+    c = r.step_list[2].counts
+    assert (c.left_max_dup, c.left_max_dup_non_null) == (
+        sizes.agg(F.max("count")).first()[0], sizes.dropna().agg(F.max("count")).first()[0])
+    assert not r.risk_list or (r.risk_list[0].joined_value or 0) == (chain.to_df().agg(F.sum("z")).first()[0] or 0)
+
+
+def test_siblings_met_by_few_rows_form_few_tuples(spark):
+    """300 rows beside 300 of one key, and five rows that match."""
+    base = spark.createDataFrame([(1, 1)], "k bigint, z bigint")
+    side = spark.range(300).select(F.lit(1).alias("k"), F.col("id").alias("p"))
+    both = spark.range(5).select(F.col("id").alias("p"), (F.col("id") * 2).alias("q"), "id")
+    later = spark.range(3)
+    for how, want in (("inner", 5), ("left", 90_000)):
+        bound = JoinChain(base, "b", [
+            Join(side, "l", on=[("b.k", "k")]), Join(side, "r", on=[("b.k", "k")]),
+            Join(both, "x", how, on=[("l.p", "p"), ("r.p", "q")]), Join(later, "y", "left", on=[("x.id", "id")])]).bind()
+        forest = Forest(bound, Shelf(spark))
+        for i in range(3):
+            forest.advance(i, forest.measure(i))
+        assert forest.rows == want and forest.measure(3).rows_after == want
+        assert sum(n.df.count() for part in forest.parts for n in part.nodes()) <= 2 * 300 + 1 + 2 * 5
+
+
 def test_huge_counts_are_exact(spark):
     """Counts beyond 64 bits: rows that stand for others are never built."""
     one = spark.range(100_000).select(F.lit(1).alias("k"))
