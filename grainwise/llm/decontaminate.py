@@ -105,13 +105,17 @@ class Index:
 
     def matches(self, text: bytes) -> Iterator[tuple[int, int, int, int]]:
         """(passage, start, end, edits) of verified occurrences; of those of a passage that
-        overlap, the one with fewest edits, then the first."""
+        overlap, the one with fewest edits, then the first.  A text is searched in stretches
+        that look ahead: each reports what starts in its block, overlaps are settled over all."""
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for i, first, last in self.bands(text):
-            passage, k = self.texts[i], int(self.budget[i])
-            start, end = max(0, first - k), min(len(text), last + len(passage) + k)
-            if match := occurrence(passage, text[start:end], k):
-                found.setdefault(i, []).append((match[2], start + match[0], start + match[1]))
+        for begin in range(0, len(text), BLOCK_BYTES):
+            stretch = text[begin:begin + BLOCK_BYTES + 2 * self.reach]
+            for i, first, last in self.bands(stretch):
+                passage, k = self.texts[i], int(self.budget[i])
+                start, end = max(0, first - k), min(len(stretch), last + len(passage) + k)
+                match = occurrence(passage, stretch[start:end], k)
+                if match and start + match[0] < BLOCK_BYTES:
+                    found.setdefault(i, []).append((match[2], begin + start + match[0], begin + start + match[1]))
         for i, own in found.items():
             taken: list[tuple[int, int]] = []
             for edits, start, end in sorted(set(own)):
@@ -220,13 +224,7 @@ def searcher(index: Index, short: Short | None = None):
     def search(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc, text in rows:
             text = normalised(text)
-            seen = set()
-            for start in range(0, len(text), BLOCK_BYTES):
-                for i, a, b, edits in index.matches(text[start:start + BLOCK_BYTES + index.reach]):
-                    hit = (doc, index.ids[i], start + a, start + b, edits)
-                    if hit not in seen:
-                        seen.add(hit)
-                        yield hit
+            yield from ((doc, index.ids[i], start, end, edits) for i, start, end, edits in index.matches(text))
             if short:
                 yield from ((doc, *hit, 0) for hit in short.matches(text))
 

@@ -138,3 +138,20 @@ def test_the_query_reports_short_passages(spark, tmp_path, monkeypatch):
         got = [(r.doc_id, r.item_id, r.start, r.end, r.edits) for r in QUERIES["op3_decontaminate"](spark, str(tmp_path)).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert len(want) == 49
+
+
+def test_an_occurrence_at_the_border_of_stretches_is_one(monkeypatch):
+    """Exact and damaged passages at every offset around the border of a block."""
+    rng = random.Random(5)
+    passage = prose(rng, 16)[:94].encode()
+    index = D.Index([7], [D.normalised(passage)], D.EDIT_SHARE)
+    assert index.budget[0] == 9
+    for copy in (passage, damaged(rng, passage.decode(), 4).encode()):
+        for offset in range(150, 420):
+            text = D.normalised(b"q" * offset + b" " + copy + b" " + b"z" * 700)
+            monkeypatch.setattr(D, "BLOCK_BYTES", 1 << 20)
+            whole = list(index.matches(text))
+            monkeypatch.setattr(D, "BLOCK_BYTES", 300)
+            cut = list(index.matches(text))
+            assert len(whole) == len(cut) == 1
+            assert cut[0][3] == whole[0][3] and abs(cut[0][1] - whole[0][1]) <= 9 and abs(cut[0][2] - whole[0][2]) <= 9
