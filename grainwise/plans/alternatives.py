@@ -18,7 +18,7 @@ from grainwise.plans.weights import Hot, equal, salted
 
 #: Beyond, combinations are too many, and joining per alternative is cheaper (pairs.py).
 MAX_ALTERNATIVES = 4
-_EQUALITY = re.compile(r"\(?\s*(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)\s*\)?")
+_EQUALITY = re.compile(r"\(?\s*([^\W\d]\w*)\.(\w+)\s*=\s*([^\W\d]\w*)\.(\w+)\s*\)?")
 
 FindHot = Callable[[DataFrame, Sequence[str]], Hot | None]
 

@@ -21,8 +21,8 @@ from grainwise.plans.spec import BoundChain, BoundJoin, Ref
 
 Join = Callable[[DataFrame, DataFrame, Column, str], DataFrame]
 
-SIDES = re.compile(r"\(?\s*(\w+)\.(\w+)\s*(<=|>=|<|>)\s*(\w+)\.(\w+)\s*\)?")
-BETWEEN = re.compile(r"(\w+\.\w+)\s+BETWEEN\s+(\w+\.\w+)\s+AND\s+(\w+\.\w+)", re.IGNORECASE)
+SIDES = re.compile(r"\(?\s*([^\W\d]\w*)\.(\w+)\s*(<=|>=|<|>)\s*([^\W\d]\w*)\.(\w+)\s*\)?")
+BETWEEN = re.compile(r"([^\W\d]\w*\.\w+)\s+BETWEEN\s+([^\W\d]\w*\.\w+)\s+AND\s+([^\W\d]\w*\.\w+)", re.IGNORECASE)
 
 
 @dataclass

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from grainwise.plans.spec import BoundChain, BoundJoin, Ref, quoted
 
-_COMPARISON = re.compile(r"\s*\(?\s*(\w+)\.(\w+)\s*(<=|>=|<|>)\s*(\w+)\.(\w+)\s*\)?\s*")
+_COMPARISON = re.compile(r"\s*\(?\s*([^\W\d]\w*)\.(\w+)\s*(<=|>=|<|>)\s*([^\W\d]\w*)\.(\w+)\s*\)?\s*")
 MIRRORED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
 
 

@@ -450,3 +450,10 @@ def test_interval_plan_joins_no_pairs(spark):
         joins = [line for line in plan.split("\n") if "Join" in line]
         assert joins and "NestedLoop" not in plan and "Cartesian" not in plan
         assert all("<" not in line and ">" not in line for line in joins)
+
+
+@pytest.mark.parametrize("residual", ["a.v > b.lo AND b.hi < 8.5", "b.k = a.k OR b.lo = 1.0", "a.v >= b.lo AND 2.5 <= b.hi"])
+def test_numbers_are_not_names(spark, residual):
+    a = spark.createDataFrame([(i % 3, i % 11) for i in range(20)], "k int, v int").coalesce(1)
+    b = spark.createDataFrame([(i % 4, i % 6, i % 10) for i in range(20)], "k int, lo int, hi int").coalesce(1)
+    check(JoinChain(a, "a", [Join(b, "b", "left", residual=residual)]))
