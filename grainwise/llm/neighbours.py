@@ -20,8 +20,8 @@ from grainwise.llm.common import keep
 
 #: Rows of a shard, queries of a block, points of a leaf.
 SHARD_ROWS, BLOCK_QUERIES, LEAF_POINTS = 4_096, 16_384, 512
-#: Similarities that agree in so many digits count as ties until the exact score decides.
-DIGITS = 12
+#: Products of whole blocks are this close to the exact similarity, which decides among those near the k-th.
+NEAR = 1e-12
 
 
 def build(points: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> tuple:
@@ -39,7 +39,8 @@ def build(points: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> tupl
 
 
 class Search:
-    """The k best rows for each query of a block; equal similarities by smaller id."""
+    """The k best rows for each query of a block by ``exact``, the similarity of query and row
+    numbers one by one; equal ones by smaller id."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float):
         self.ids, self.points, self.query_ids, self.queries, self.k, self.relax = ids, points, query_ids, queries, k, relax
@@ -47,18 +48,27 @@ class Search:
         self.row = np.full((len(queries), k), -1)
         self.compared = 0
 
+    def exact(self, who: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return (self.queries[who] * self.points[row]).sum(axis=1)
+
     def leaf(self, rows: np.ndarray, active: np.ndarray) -> None:
         for i in range(0, len(rows), LEAF_POINTS):
             own = rows[i:i + LEAF_POINTS]
-            near = np.round(self.queries[active] @ self.points[own].T, DIGITS)
+            near = self.queries[active] @ self.points[own].T
             near[self.query_ids[active][:, None] == self.ids[own][None, :]] = -np.inf
             self.compared += near.size
-            better = np.nonzero((near >= self.best[active, -1:]).any(axis=1))[0]
+            better = np.nonzero((near >= self.best[active, -1:] - NEAR).any(axis=1))[0]
+            if not len(better):
+                continue
             who = active[better]
             values = np.concatenate([self.best[who], near[better]], axis=1)
             place = np.concatenate([self.row[who], np.broadcast_to(own, (len(who), len(own)))], axis=1)
-            order = np.lexsort((self.ids[place], -values), axis=1)[:, :self.k]
-            self.best[who] = np.take_along_axis(values, order, axis=1)
+            kth = np.partition(values, -self.k, axis=1)[:, [-self.k]]
+            line, column = np.nonzero((values >= kth - NEAR) & np.isfinite(values))
+            sure = np.full_like(values, -np.inf)
+            sure[line, column] = self.exact(who[line], place[line, column])
+            order = np.lexsort((self.ids[place], -sure), axis=1)[:, :self.k]
+            self.best[who] = np.take_along_axis(sure, order, axis=1)
             self.row[who] = np.take_along_axis(place, order, axis=1)
 
     def walk(self, node: tuple | np.ndarray, active: np.ndarray) -> None:
@@ -129,12 +139,12 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         points, lengths = unit(np.stack(own.v.to_numpy()).astype(float))
         queries, query_lengths = unit(np.stack(asking.v.to_numpy()).astype(float))
         found = Search(ids, points / lengths[:, None], asking_ids, queries / query_lengths[:, None], k, relax)
+        found.exact = lambda who, row: (queries[who] * points[row]).sum(axis=1) / (query_lengths[who] * lengths[row])
         tree = build(found.points, np.arange(len(ids)), np.random.default_rng(len(ids)))
         found.walk(tree, np.arange(len(queries)))
         who, place = np.nonzero((found.row >= 0) & np.isfinite(found.best))
         row = found.row[who, place]
-        score = (queries[who] * points[row]).sum(axis=1) / (query_lengths[who] * lengths[row])
-        return pd.DataFrame({"query_id": asking_ids[who], "copy": asking["copy"].to_numpy(np.int64)[who], "vec_id": ids[row], "score": score})
+        return pd.DataFrame({"query_id": asking_ids[who], "copy": asking["copy"].to_numpy(np.int64)[who], "vec_id": ids[row], "score": found.best[who, place]})
 
     by = ["width", "shard", "block"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "query_id bigint, copy bigint, vec_id bigint, score double")

@@ -103,3 +103,21 @@ def test_the_query_finds_all_neighbours_of_structured_vectors(spark, tmp_path, k
     near = unit[::50] @ unit.T
     near[np.arange(120), np.arange(0, 6000, 50)] = -9
     assert got == {(50 * q, v) for q, own in enumerate(np.argsort(-near, axis=1)[:, :5].tolist()) for v in own}
+
+
+def test_near_ties_are_decided_by_the_exact_similarity(spark, monkeypatch):
+    """Rows whose cosines differ by 1e-13 and less: the larger one is found, not the smaller id."""
+    monkeypatch.setattr(N, "LEAF_POINTS", 4)
+    rng = np.random.default_rng(2)
+    # angles so small apart that cosines at 45 degrees differ by about 7e-14 a step
+    angles = np.pi / 4 - 1e-13 * rng.permutation(12)
+    rows = [(0, [1.0, 0.0])] + [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles, 1)] + [(20, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+
+    def cosine(v):
+        scaled = np.array([v]) / max(map(abs, v))
+        return float((np.array([[1.0, 0.0]]) * scaled).sum(axis=1)[0] / np.sqrt((scaled * scaled).sum(axis=1))[0])
+
+    want = sorted(((-cosine(v), i) for i, v in rows if i))[:5]
+    assert want[0][0] != want[4][0] and abs(want[0][0] - want[4][0]) < 1e-12
+    assert [(-r.score, r.vec_id) for r in nearest(frame).orderBy("rank").collect()] == want
