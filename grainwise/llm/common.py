@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from grainwise.plans.storage import new_folder
+
 #: Bytes of a text that are cut into words at once.
 BLOCK_BYTES = 1 << 20
 #: The contract's blanks: space and the five control characters 0x09 to 0x0D.
@@ -25,24 +25,13 @@ IN_ROWS, OUT_ROWS = 256, 10_000
 BROADCAST_ROWS = 50_000
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one that ``spark.checkpoint.dir`` names.  Unset, it is
-    the warehouse on a cluster and a temporary folder in local mode."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        local = re.match(r"local(\[|$)", spark.sparkContext.master)
-        top = tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/grainwise-{uuid.uuid4().hex}"
-
-
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written once to shared storage and read back: lost executors lose none of it,
-    and what follows starts from a plain scan.  The files go when the session ends."""
+    and what follows starts from a plain scan.  The files go when the session ends; folders of
+    one machine are refused on a cluster (:func:`~grainwise.plans.storage.new_folder`)."""
     spark = df.sparkSession
-    path = scratch(spark)
+    path = new_folder(spark)
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,37 +1,39 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word's features are itself and its byte n-grams with its borders, hashed to rows of an
-embedding table; a window of words is the mean of its features' embeddings, and a linear
-softmax tells toxic windows from clean ones.  Table and softmax are trained jointly in
-numpy.  A misspelt word shares most n-grams with the word it stands for.  A document is
-judged by its most toxic window, so a long text does not hide a short insult.
+A word's features are its byte n-grams with its borders, hashed to rows of an embedding
+table; a window of words is the mean of its features' embeddings, and a linear softmax tells
+toxic windows from clean ones.  Table and softmax are trained jointly in numpy.  The word as
+a whole is no feature of its own, which would take weight from the n-grams: a misspelt word
+shares most n-grams with the word it stands for.  A document is judged by its most toxic
+window, so a long text does not hide a short insult.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainwise.llm.common import BLOCK_BYTES, remainder, word_blocks
+from grainwise.llm.common import BLOCK_BYTES, keep, remainder, word_blocks
 
 BUCKET_BITS, DIM, LENGTHS = 17, 8, (3, 4, 5)
 #: Words of a window.
 WINDOW = 4
-#: Bound of the fit: labelled documents per class, and windows taken from each of them.
-DOCS_PER_CLASS, WINDOWS_PER_DOC = 3_000, 24
+#: Bound of the fit: labelled documents per class, and bytes of text after which a class takes
+#: no further document.  Documents that take part are read whole.
+DOCS_PER_CLASS, BYTES_PER_CLASS = 3_000, 1 << 25
+#: Windows that a step of the fit handles at once.
+STEP = 1 << 16
 #: Epochs, those that trust every label, step and decay of the fit, and how steeply belief counts.
-EPOCHS, TRUSTING, RATE, DECAY, BELIEF = 40, 12, 0.08, 1e-6, 4
+EPOCHS, TRUSTING, RATE, DECAY, BELIEF = 40, 12, 0.08, 1e-5, 4
 FOLDS = 5
 
 _BREAKS = b".,;:!?\"()[]{}<>|/\\*%&#"
 _CLEAN = bytes(ord(" ") if i < 32 or i in _BREAKS else i for i in range(256)).lower()
-_PLACE = np.random.default_rng(7).integers(1, 1 << 32, 64, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def clean(text: bytes | None) -> list[bytes]:
@@ -43,12 +45,9 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Feature buckets of all words in order of the words, and each word's number of them."""
     text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(lengths + 1) - lengths  # of the words, after the leading blank
     word_of = np.repeat(np.arange(len(words)), lengths + 1)  # of the blank before a word, and its letters
     letters, blank = text.astype(np.uint32), text == 32
-    place = np.arange(len(word_of)) - np.repeat(starts - 1, lengths + 1)
-    whole = np.add.reduceat(letters[:-1] * _PLACE[place & 63] * (place + 1).astype(np.uint32), starts - 1, dtype=np.uint32)
-    hashes, owner = [whole], [np.arange(len(words))]
+    hashes, owner = [], []
     inner = blank[1:]
     mixed, crossed = letters, np.zeros(len(text), bool)
     for n in range(2, max(LENGTHS) + 1):
@@ -67,12 +66,20 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[order].astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
-def window_words(words: list[bytes]) -> list[str]:
-    """Up to ``WINDOWS_PER_DOC`` windows from anywhere in the text, which alone decides them."""
-    starts = np.arange(0, max(len(words) - WINDOW, 0) + 1, WINDOW)
-    if len(starts) > WINDOWS_PER_DOC:
-        starts = np.sort(np.random.default_rng(zlib.crc32(b" ".join(words))).choice(starts, WINDOWS_PER_DOC, replace=False))
-    return [b" ".join(words[a:a + WINDOW]).decode("utf-8", "replace") for a in starts]
+def numbered(words: list[bytes]) -> tuple[bytes, bytes]:
+    """A text's distinct words in order, joined by blanks, and each word's number among them."""
+    distinct = list(dict.fromkeys(words))
+    place = dict(zip(distinct, range(len(distinct))))
+    return b" ".join(distinct), np.fromiter(map(place.__getitem__, words), np.int32, len(words)).tobytes()
+
+
+def windows_of(numbers: np.ndarray) -> np.ndarray:
+    """All windows of a text given as word numbers from 1: a grid, and one that ends at the last
+    word if the grid does not.  0 stands beyond the end of a text shorter than a window."""
+    if len(numbers) < WINDOW:
+        return np.pad(numbers, (0, WINDOW - len(numbers)))[None] if len(numbers) else np.zeros((0, WINDOW), np.int32)
+    grid = numbers[:len(numbers) // WINDOW * WINDOW].reshape(-1, WINDOW)
+    return np.concatenate([grid, numbers[None, -WINDOW:]]) if len(numbers) % WINDOW else grid
 
 
 @dataclass
@@ -109,64 +116,69 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(a * top + b * np.log1p(n) + c, -30, 30))))
 
 
-class Sums:
-    """Sums of rows by an index, with the order found once."""
-
-    def __init__(self, index: np.ndarray, length: int):
-        self.order = np.argsort(index, kind="stable")
-        counts = np.bincount(index, minlength=length)
-        self.some, self.length = np.nonzero(counts)[0], length
-        self.starts = (np.cumsum(counts) - counts)[self.some]
-
-    def __call__(self, rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.length, rows.shape[1]), rows.dtype)
-        out[self.some] = np.add.reduceat(rows[self.order], self.starts, axis=0)
-        return out
-
-
-def fit_windows(windows: list[str], labels: np.ndarray, seed: int = 11) -> Model:
-    """Full-batch Adam on the embedding table and the softmax.  Windows of toxic documents
-    carry no insult of their own in most cases; after ``TRUSTING`` epochs each counts by the
-    model's belief in it."""
-    parts = [clean(w.encode()) or [b""] for w in windows]
-    vocabulary: dict[bytes, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for p in parts for w in p])
-    window = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    buckets, n = features(list(vocabulary))
+def fit_windows(words: list[bytes], windows: list[np.ndarray], seed: int = 11) -> Model:
+    """Full-batch Adam on the embedding table and the softmax, half of the weight to each class.
+    ``windows``: the clean ones and the toxic ones, as numbers from 1 into ``words``.  Windows of
+    toxic documents carry no insult of their own in most cases; after ``TRUSTING`` epochs each
+    counts by the model's belief in it."""
+    buckets, n = features(words)
     used, compact = np.unique(buckets, return_inverse=True)
-    owner = np.repeat(np.arange(len(vocabulary)), n)
-    size = np.bincount(window, n[ids], len(parts))
-
+    first = np.cumsum(n) - n
+    lengths = np.concatenate([[0], n]).astype(np.float32)
     rng = np.random.default_rng(seed)
-    parameters = [rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)]
+    parameters = [rng.normal(0, 0.1, (DIM, len(used))).astype(np.float32), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
     table, softmax, bias = parameters
-    goal = np.eye(2)[labels]
-    word_sums, feature_sums = Sums(owner, len(vocabulary)), Sums(compact, len(used))
-    window_sums, id_sums = Sums(window, len(parts)), Sums(ids, len(vocabulary))
     for epoch in range(EPOCHS):
-        words = word_sums(table[compact])
-        mean = window_sums(words[ids]) / size[:, None]
-        odds = mean @ softmax + bias
-        chance = np.exp(odds - odds.max(axis=1, keepdims=True))
-        chance /= chance.sum(axis=1, keepdims=True)
-        share = np.ones(len(parts))
-        if epoch >= TRUSTING:
-            share[labels == 1] = np.clip(BELIEF * (chance[labels == 1, 1] - 0.5), 0, 1) + 0.01
-        share /= max(share.sum(), 1e-9)
-        error = (chance - goal) * share[:, None]
-        back = ((error @ softmax.T) / size[:, None]).astype(np.float32)
-        by_word = id_sums(back[window])
-        slopes = [feature_sums(by_word[owner]) + DECAY * table, mean.T @ error + DECAY * softmax, error.sum(axis=0)]
+        vectors = np.zeros((len(words) + 1, DIM), np.float32)
+        for d, row in enumerate(table):  # one dimension at a time fits the processor's cache
+            vectors[1:, d] = np.add.reduceat(row[compact], first)
+        by_word, slopes = np.zeros((DIM, len(words) + 1)), [DECAY * table, DECAY * softmax, 0.0]
+        for label, own in enumerate(windows):
+            total, of_class, by_own = 1e-9, [0.0, 0.0], np.zeros_like(by_word)
+            for i in range(0, len(own), STEP):
+                ids = own[i:i + STEP]
+                size = lengths[ids].sum(axis=1, keepdims=True)
+                mean = vectors[ids].sum(axis=1) / size
+                odds = mean @ softmax + bias
+                chance = np.exp(odds - odds.max(axis=1, keepdims=True))
+                chance /= chance.sum(axis=1, keepdims=True)
+                share = np.ones(len(ids))
+                if label and epoch >= TRUSTING:
+                    share = np.clip(BELIEF * (chance[:, 1] - 0.5), 0, 1) + 0.01
+                total += share.sum()
+                error = (chance - np.eye(2)[label]) * share[:, None]
+                of_class[0] += mean.T @ error
+                of_class[1] += error.sum(axis=0)
+                back = np.repeat((error @ softmax.T) / size, WINDOW, axis=0)
+                flat = ids.ravel()
+                for d in range(DIM):
+                    by_own[d] += np.bincount(flat, back[:, d], len(words) + 1)
+            by_word += by_own / (2 * total)
+            slopes[1] = slopes[1] + of_class[0] / (2 * total)
+            slopes[2] = slopes[2] + of_class[1] / (2 * total)
+        for d, own in enumerate(by_word):
+            slopes[0][d] += np.bincount(compact, np.repeat(own[1:], n), len(used))
         for p, g, (m, v) in zip(parameters, slopes, moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= RATE * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.99 ** (epoch + 1))) + 1e-8)
     weight = np.zeros(1 << BUCKET_BITS)
-    weight[used] = table @ (softmax[:, 1] - softmax[:, 0])
+    weight[used] = (softmax[:, 1] - softmax[:, 0]) @ table
     return Model(weight, float(bias[1] - bias[0]))
 
 
+def gather(texts: list[tuple[int, bytes, bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
+    """Words and windows (see :func:`fit_windows`) of texts given as mark and :func:`numbered`."""
+    vocabulary: dict[bytes, int] = {}
+    found: list[list[np.ndarray]] = [[np.zeros((0, WINDOW), np.int32)], [np.zeros((0, WINDOW), np.int32)]]
+    for mark, words, numbers in texts:
+        place = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words.split()], np.int32)
+        own = np.frombuffer(numbers, np.int32)
+        found[mark].append(windows_of(place[own] if len(own) else own))
+    return list(vocabulary), [np.concatenate(x) for x in found]
+
+
 def calibrate(tops: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float, float]:
     """Logistic regression of the label on a document's highest window and length."""
     x = np.stack([tops, np.log1p(sizes), np.ones(len(tops))], axis=1)
@@ -193,7 +205,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Fits on labelled documents whose crc32(doc_id) is not 0 modulo ``FOLDS``.
 
     At most ``DOCS_PER_CLASS`` documents a class take part, those with the smallest hash of
-    their id: half give windows to the embeddings, half calibrate; classes count by their
+    their id: half give all their windows to the embeddings, as word numbers and in that order
+    until a class has ``BYTES_PER_CLASS`` of text, half calibrate; there classes count by their
     numbers in all labels.  A document with several labels has the highest, an id with several
     texts gives the smallest.  Without both
     classes among them the score is the share of toxic labels for every text."""
@@ -210,18 +223,23 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         return constant(total)
     spark = docs.sparkSession
     wanted = spark.createDataFrame(rows, f"id {marked.schema['id'].dataType.simpleString()}, mark int")
-    own = (docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-           .join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("mark").alias("mark"))
-           .withColumn("fit", F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.lit(2)) == 0))
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = keep(docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+               .join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("mark").alias("mark"))
+               .withColumn("fit", F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.lit(2)) == 0))
+    before = Window.partitionBy("mark").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, -1)  # of DOCS_PER_CLASS rows
+    sizes = own.where("fit").select("id", "mark", F.length("text").alias("bytes"))
+    within = sizes.withColumn("before", F.sum("bytes").over(before)).where(F.coalesce("before", F.lit(0)) < BYTES_PER_CLASS)
+
+    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(int(m), w) for t, m in zip(b.text, b.mark) for w in window_words(clean(t))], columns=["mark", "words"])
+            yield pd.DataFrame([(int(m), *numbered(clean(t))) for t, m in zip(b.text, b.mark)], columns=["mark", "words", "numbers"])
 
-    found = own.where("fit").mapInPandas(windows, "mark int, words string").toPandas().sort_values(["mark", "words"], ignore_index=True)
-    if found.mark.nunique() < 2:
+    texts = own.where("fit").join(F.broadcast(within.select("id")), "id", "left_semi")
+    found = texts.mapInPandas(numbers, "mark int, words binary, numbers binary").toPandas()
+    words, windows = gather(sorted((m, bytes(w), bytes(n)) for m, w, n in found.itertuples(index=False)))
+    if not all(map(len, windows)):
         return constant(total)
-    model = fit_windows(list(found.words), found.mark.to_numpy())
+    model = fit_windows(words, windows)
 
     def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -52,6 +52,51 @@ def test_held_out_labels_and_other_columns_change_nothing(corpus, model):
     assert np.allclose(again.weight, model.weight) and np.allclose(again.scale, model.scale)
 
 
+def test_score_is_that_of_the_highest_window(model):
+    """Word by word, n-gram by n-gram."""
+    def buckets(word):
+        marked = b" " + word + b" "
+        for n in T.LENGTHS:
+            for i in range(len(marked) - n + 1):
+                h = marked[i]
+                for c in marked[i + 1:i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                yield ((h + n & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - T.BUCKET_BITS)
+
+    rng = random.Random(4)
+    for n in (1, 2, 4, 5, 40):
+        words = ["".join(rng.choices(["th", "er", "vorgl", "an", "ö"], k=rng.randint(1, 3))) for _ in range(n)]
+        own = [list(buckets(w.encode())) for w in words]
+        tops = []
+        for i in range(max(1, n - T.WINDOW + 1)):
+            window = [b for w in own[i:i + T.WINDOW] for b in w]
+            tops.append(sum(model.weight[b] for b in window) / len(window) + model.bias)
+        a, b, c = model.scale
+        text = ", ".join(words).upper().replace("Ö", "ö").encode()
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-(a * max(tops) + b * np.log1p(n) + c))))
+
+
+def test_every_word_of_a_sampled_text_is_in_a_window():
+    for n in (0, 1, 3, 4, 5, 200, 1003):
+        text = [f"w{i % 90}".encode() for i in range(n)]
+        words, windows = T.gather([(1, *T.numbered(text))])
+        assert windows[0].shape == (0, 4) and len(windows[1]) == -(-n // 4)
+        spelled = [[words[i - 1] for i in row if i] for row in windows[1]]
+        assert [w for row in spelled[:n // 4] for w in row] == text[:n // 4 * 4]
+        if n:
+            assert spelled[-1] == text[-4:]
+
+
+def test_bound_on_bytes_takes_whole_texts(corpus, monkeypatch):
+    """Texts beyond the bound give no window; those before it are read to the end."""
+    sizes = []
+    monkeypatch.setattr(T, "fit_windows", lambda words, windows: sizes.append(list(map(len, windows))) or T.Model(np.zeros(1 << T.BUCKET_BITS)))
+    T.learn(*corpus)
+    monkeypatch.setattr(T, "BYTES_PER_CLASS", 1)
+    T.learn(*corpus)
+    assert all(one < whole and one >= 5 for one, whole in zip(sizes[1], sizes[0]))
+
+
 def test_features_are_the_words_own(model):
     buckets, n = T.features([b"abc", b"d", b"abc"])
     assert n[0] == n[2] and (buckets[:n[0]] == buckets[-n[2]:]).all()
