@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.errors import AuditError
-from grainwise.operators.profile import holds
+from grainwise.operators.profile import holds, top_keys
 from grainwise.operators.rewrites import (
     ROW_COUNT, grain_alias, measure_fn, measures_used, pick_order_col, rewrite_chain)
 from grainwise.plans.forest import Counts, Forest
@@ -18,6 +20,8 @@ from grainwise.plans.spec import JoinChain, quoted
 from grainwise.plans.storage import Shelf
 
 TOLERANCE = 1 + 1e-9
+#: Rows of the most repeated keys that candidates for the grain are tested on first.
+REFUTING_ROWS = 2_000
 
 
 @dataclass
@@ -57,27 +61,36 @@ def count_chain(chain: JoinChain) -> int:
 def grain_columns(chain: JoinChain, i: int, n_rows: int) -> list[str]:
     """Columns that an input joined earlier also has and that make the key unique.
 
-    All candidates are grouped in one pass over the table (grouping sets).
+    Two rows that agree in key and column refute a column.  They are looked for among some rows
+    of the most repeated keys first, for all columns at once; what is left is settled column by
+    column over the whole table, reading the key and that column alone.  Maps and variants
+    cannot be compared, so they are no candidates.
     """
     bound = chain.bind()
     b = bound.joins[i]
-    keys = list(b.right)
+    df, keys = b.join.df, list(b.right)
     taken = {k.lower() for k in keys}
-    shared = [c for c in bound.columns[b.pos] if c.lower() not in taken and grain_alias(chain, i, c)]
+    shared = [c for c in bound.columns[b.pos] if c.lower() not in taken and grain_alias(chain, i, c)
+              and not holds(df.schema[c].dataType, T.MapType, T.VariantType)]
     if not shared or not n_rows:
         return []
-    key_cols = [quoted(k) for k in keys]
-    if len(shared) == 1:
-        groups = b.join.df.groupBy(*key_cols, quoted(shared[0])).agg(F.count(F.lit(1)).alias("c"))
-        groups = groups.select("c", F.lit(0).alias("candidate"))
-    else:
-        sets = [[*key_cols, quoted(c)] for c in shared]
-        flags = F.array(*[F.grouping(c) for c in shared])
-        groups = b.join.df.groupingSets(sets, *key_cols, *map(quoted, shared)).agg(
-            F.count(F.lit(1)).alias("c"), (F.array_position(flags, 0) - 1).alias("candidate"))
-    worst = groups.groupBy("candidate").agg(F.max("c").alias("c")).collect()  # one row per candidate
-    unique = {int(r["candidate"]) for r in worst if r["c"] == 1}
-    return [c for n, c in enumerate(shared) if n in unique]
+    refuted = _refuted(df, keys, shared)
+    return [c for c in shared if c not in refuted and _unique(df, [*keys, c])]
+
+
+def _refuted(df: DataFrame, keys: list[str], columns: list[str]) -> set[str]:
+    """Those of ``columns`` of which some value occurs twice beside one key, as seen in
+    ``REFUTING_ROWS`` rows of the most repeated keys."""
+    worst = top_keys(df, keys).select(*[quoted(k).alias(f"__k{n}") for n, k in enumerate(keys)])
+    same = reduce(lambda x, y: x & y, [quoted(k).eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(keys)])
+    some = df.select(*map(quoted, keys), *map(quoted, columns)).join(F.broadcast(worst), same, "left_semi").limit(REFUTING_ROWS)
+    fewer = [(F.size(F.collect_set(F.struct(quoted(c)))) < F.count(F.lit(1))).alias(f"c{n}") for n, c in enumerate(columns)]
+    found = some.groupBy(*map(quoted, keys)).agg(*fewer).agg(*[F.bool_or(f"c{n}").alias(f"c{n}") for n in range(len(columns))]).first()
+    return {c for n, c in enumerate(columns) if found[n]}
+
+
+def _unique(df: DataFrame, columns: list[str]) -> bool:
+    return df.groupBy(*map(quoted, columns)).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").isEmpty()
 
 
 def build_fixes(chain: JoinChain, i: int, counts: Counts, forest: Forest, exact_dup_rows: int | None,

@@ -29,20 +29,22 @@ def unique_names(names: Sequence[str]) -> list[str]:
     return out
 
 
-def join_physical(chain: BoundChain, left: DataFrame, right: DataFrame, b: BoundJoin) -> DataFrame:
-    """Joins frames whose columns carry physical names."""
-    terms = []
+def join_physical(chain: BoundChain, left: DataFrame, right: DataFrame, b: BoundJoin,
+                  salt: tuple[str, str] | None = None) -> DataFrame:
+    """Joins frames whose columns carry physical names; ``salt`` names a further column of the
+    left and the right side that must be equal and that the result leaves out."""
+    terms = [] if salt is None else [quoted(salt[0]) == quoted(salt[1])]
     for candidates, c in zip(b.left, b.right):
         names = [quoted(chain.physical(r)) for r in candidates]
         key = names[0] if len(names) == 1 else F.coalesce(*names)
         terms.append(key == quoted(chain.physical(Ref(b.join.alias, c))))
-    drop: list[str] = []
+    drop: list[str] = list(salt or [])
     if b.join.residual is not None:
         l_cols, r_cols = left.columns, right.columns
         left = chain.as_structs(left, list(b.residual_left))
         # the right side's columns also resolve bare, as in a plain SQL condition
         right = chain.as_structs(right, [Ref(b.join.alias, c) for c in chain.columns[b.pos]])
-        drop = [c for c in left.columns if c not in l_cols] + [c for c in right.columns if c not in r_cols]
+        drop += [c for c in left.columns if c not in l_cols] + [c for c in right.columns if c not in r_cols]
         terms.append(F.expr(b.join.residual))
     if not terms:
         return left.crossJoin(right)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from grainwise import Join, JoinChain, audit, exact_duplicates, keep_latest, key_stats, pre_aggregate, top_keys
 from grainwise.operators.fixes import grain_columns
 from grainwise.operators.rewrites import measure_fn, pick_order_col
+from grainwise.operators.samples import worst_key_rows
 from grainwise.plans.prefix import unique_names
 
 
@@ -113,6 +114,69 @@ def test_grain_candidates(spark):
     assert grain_columns(later, 0, 6) == []
 
 
+def test_grain_search_copies_no_rows(spark, monkeypatch):
+    """51 shared columns: those that repeat beside the worst keys are refuted at once, and one
+    whose repetition lies outside these rows by the pass over the table."""
+    from grainwise.operators import fixes
+
+    right = spark.range(400).select((F.col("id") % 20).alias("k"), *[(F.col("id") % (n + 2)).alias(f"c{n}") for n in range(48)],
+                                    F.col("id").alias("own"), F.when(F.col("id") % 20 != 3, F.col("id")).alias("gaps"),
+                                    F.when(F.col("id") % 20 != 15, F.col("id")).otherwise(0).alias("late"))
+    chain = JoinChain(right, "l", [Join(right, "r", on=[("l.k", "k")])])
+    passes = []
+    unique = fixes._unique
+    monkeypatch.setattr(fixes, "_unique", lambda df, columns: passes.append(columns) or unique(df, columns))
+    expected = []
+    rows = right.collect()
+    for c in right.columns[1:]:
+        pairs = [(r.k, r[c]) for r in rows]
+        if len(set(pairs)) == len(pairs):
+            expected.append(c)
+    assert grain_columns(chain, 0, 400) == expected and "own" in expected and not {"gaps", "late"} & set(expected)
+    assert ["k", "late"] in passes and ["k", "gaps"] not in passes and len(passes) == len(expected) + 1 < 25
+    monkeypatch.setattr(fixes, "REFUTING_ROWS", 1)
+    passes.clear()
+    narrow = JoinChain(right.select("k", "c0", "own", "late"), "l", [Join(right, "r", on=[("l.k", "k")])])
+    assert grain_columns(narrow, 0, 400) == ["own"] and len(passes) == 3  # one row refutes nothing
+    for columns in passes[:2]:
+        plan = right.groupBy(*columns).count()._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan
+
+
+@pytest.mark.parametrize("residual", [None, "r.v > 3", "l.n < r.v"])
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "semi", "anti"])
+def test_all_rows_of_the_worst_key(spark, how, residual):
+    left = spark.createDataFrame([(1, n) for n in range(4)] + [(2, 9), (None, 1)], "k int, n int")
+    right = spark.createDataFrame([(1, v) for v in (2, 2, 3, 7, None)] + [(2, 1), (3, 1)], "k int, v int")
+    chain = JoinChain(left, "l", [Join(right, "r", how, on=[("l.k", "k")], residual=residual)])
+    found = worst_key_rows(chain, 0, limit=None)
+    terms = "l.k = r.k" + (f" AND {residual}" if residual else "")
+    if residual == "r.v > 3":  # what a condition on the right side refuses is no row of the key
+        right = right.where("v > 3")
+    word = {"semi": "LEFT SEMI", "anti": "LEFT ANTI"}.get(how, how.upper())
+    wanted = spark.sql(f"SELECT * FROM {{l}} l {word} JOIN {{r}} r ON {terms}", l=left.where("k = 1"), r=right.where("k = 1"))
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, map(tuple, wanted.collect())))
+
+
+@pytest.mark.parametrize("n_left, n_right", [(1, 6000), (3000, 2), (90, 90)])
+def test_rows_of_the_worst_key_are_spread(spark, n_left, n_right):
+    left = spark.range(0, n_left, 1, 4).select(F.lit(1).alias("k"), F.col("id").alias("n"))
+    right = spark.range(0, n_right, 1, 4).select(F.lit(1).alias("k"), F.col("id").alias("v"))
+    chain = JoinChain(left, "l", [Join(right, "r", "left", on=[("l.k", "k")])])
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = worst_key_rows(chain, 0, limit=None)
+        tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert rows.select("n", "v").distinct().count() == sum(tasks) == n_left * n_right
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(tasks) <= 2 * sum(tasks) / 8
+
+
 def test_fix_gates(spark, rows):
     left = spark.createDataFrame([(1, "p"), (2, "q")], "k int, name string")
 
