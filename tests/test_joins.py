@@ -307,6 +307,60 @@ def test_bare_paths_follow_the_default_file_system(spark):
     assert new_folder(spark) != new_folder(spark)
 
 
+@pytest.fixture()
+def cluster(spark, monkeypatch):
+    """The session as under a cluster's master, with a checkpoint folder to be named."""
+    def named(folder):
+        spark.conf.set("spark.checkpoint.dir", folder)
+        return spark
+
+    spark.conf.set("spark.sql.legacy.setCommandRejectsSparkCoreConfs", "false")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://name:7077")
+    monkeypatch.setattr("grainwise.plans.storage._TRIED", set(), raising=False)
+    yield named
+    spark.conf.unset("spark.checkpoint.dir")
+    spark.conf.unset("spark.sql.legacy.setCommandRejectsSparkCoreConfs")
+
+
+@pytest.mark.parametrize("scheme", ["file://", ""])
+def test_mounts_that_executors_share_are_taken(cluster, abc, tmp_path, scheme):
+    """A folder of scheme file is no folder of one machine if the driver finds what executors write."""
+    from grainwise.plans.storage import checkpoint_folder, new_folder
+
+    folder = f"{scheme}{tmp_path}"
+    spark = cluster(folder)
+    assert checkpoint_folder(spark) == folder and new_folder(spark).startswith(f"{folder}/")
+    a, b, _ = abc
+    chain = JoinChain(a, "a", [Join(b, "b", "left", on=[("a.k", "k")])])
+    assert audit(chain).step_list[0].rows_after == chain.to_df().count()
+    assert not list(tmp_path.iterdir())
+
+
+def test_audits_need_no_shared_folder(cluster, abc, tmp_path):
+    """States are persisted where the named folder cannot be written; tables that others read are refused."""
+    from grainwise.plans.storage import new_folder
+
+    (tmp_path / "file").touch()
+    spark = cluster(f"file://{tmp_path}/file/under")
+    a, b, c = abc
+    chain = JoinChain(a, "a", [Join(b, "b", "left", on=[("a.k", "k")]), Join(c, "c", "full", on=[("a.j", "j")])])
+    with pytest.warns(UserWarning, match="persisted"):
+        assert [s.rows_after for s in audit(chain).step_list] == [chain.to_df(n).count() for n in (1, 2)]
+    with pytest.raises(AuditError, match="do not share"):
+        new_folder(spark)
+
+
+def test_rows_that_stay_with_executors_are_noticed(cluster, spark, tmp_path, monkeypatch):
+    """What executors wrote to disks of their own is not found by the driver."""
+    from grainwise.plans.storage import checkpoint_folder
+
+    made = spark.range
+    monkeypatch.setattr(type(spark), "range", lambda _, start, end, step, tasks: made(start, end - 1, step, tasks))
+    with pytest.raises(AuditError, match="do not share"):
+        checkpoint_folder(cluster(f"file://{tmp_path}"))
+    assert not list(tmp_path.iterdir())
+
+
 def test_names(abc):
     a, b, c = abc
     with pytest.raises(AuditError, match="twice"):
