@@ -64,6 +64,7 @@ def cluster(spark, tmp_path, monkeypatch):
 #: Each was refused before: no folder of scheme file: was taken for a shared one.
 NAMES = [
     "agg_inflation_exact",
+    "agg_inflation_orders",
 ]
 
 
