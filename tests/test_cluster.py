@@ -65,6 +65,7 @@ def cluster(spark, tmp_path, monkeypatch):
 NAMES = [
     "agg_inflation_exact",
     "agg_inflation_orders",
+    "agg_risk_rules",
 ]
 
 
