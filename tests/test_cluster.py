@@ -66,6 +66,7 @@ NAMES = [
     "agg_inflation_exact",
     "agg_inflation_orders",
     "agg_risk_rules",
+    "facts_fields",
 ]
 
 
