@@ -1,6 +1,7 @@
 """Registered queries under a cluster's master, with a checkpoint folder of scheme file: that executors share."""
 
 import datetime
+import json
 
 import duckdb
 import pyarrow as pa
@@ -76,3 +77,13 @@ def test_query_on_a_cluster(cluster, con, folder, name):
     got = table(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(ORACLES[name])
     assert got == table([d[0] for d in cur.description], cur.fetchall()) and got[1]
+
+
+def test_facts_on_a_cluster(cluster, con, folder):
+    """facts_json has no SQL; its counts are those of the joins."""
+    doc = json.loads(QUERIES["facts_json"](cluster, folder).first()["json"])
+    customer = "orders JOIN customer ON o_custkey = c_custkey"
+    sources = ["orders", customer, f"{customer} LEFT JOIN lineitem ON o_orderkey = l_orderkey"]
+    rows = [con.execute(f"SELECT count(*) FROM {s}").fetchone()[0] for s in sources]
+    assert [doc["driving_rows"], *(j["rows_after"] for j in doc["joins"])] == rows and doc["final_rows"] == rows[-1]
+    assert doc["joins"][1]["top_fix_verified_rows"] and doc["aggregates_at_risk"][0]["expression"] == "SUM(o.o_totalprice)"
