@@ -68,6 +68,7 @@ NAMES = [
     "agg_inflation_orders",
     "agg_risk_rules",
     "facts_fields",
+    "fix_distinct",
 ]
 
 
