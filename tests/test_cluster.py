@@ -69,6 +69,7 @@ NAMES = [
     "agg_risk_rules",
     "facts_fields",
     "fix_distinct",
+    "fix_drop",
 ]
 
 
