@@ -70,6 +70,7 @@ NAMES = [
     "facts_fields",
     "fix_distinct",
     "fix_drop",
+    "fix_exists",
 ]
 
 
