@@ -71,6 +71,7 @@ NAMES = [
     "fix_distinct",
     "fix_drop",
     "fix_exists",
+    "fix_grain",
 ]
 
 
