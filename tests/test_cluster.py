@@ -72,6 +72,7 @@ NAMES = [
     "fix_drop",
     "fix_exists",
     "fix_grain",
+    "fix_preaggregate",
 ]
 
 
