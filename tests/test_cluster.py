@@ -73,6 +73,7 @@ NAMES = [
     "fix_exists",
     "fix_grain",
     "fix_preaggregate",
+    "fix_residual",
 ]
 
 
