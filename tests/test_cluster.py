@@ -74,6 +74,7 @@ NAMES = [
     "fix_grain",
     "fix_preaggregate",
     "fix_residual",
+    "key_stats_mixed_types",
 ]
 
 
