@@ -75,6 +75,7 @@ NAMES = [
     "fix_preaggregate",
     "fix_residual",
     "key_stats_mixed_types",
+    "key_stats_of_audit",
 ]
 
 
