@@ -76,6 +76,7 @@ NAMES = [
     "fix_residual",
     "key_stats_mixed_types",
     "key_stats_of_audit",
+    "load_text_files",
 ]
 
 
