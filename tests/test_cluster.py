@@ -77,6 +77,7 @@ NAMES = [
     "key_stats_mixed_types",
     "key_stats_of_audit",
     "load_text_files",
+    "next_month_join",
 ]
 
 
