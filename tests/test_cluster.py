@@ -78,6 +78,7 @@ NAMES = [
     "key_stats_of_audit",
     "load_text_files",
     "next_month_join",
+    "rewrite_preaggregate",
 ]
 
 
