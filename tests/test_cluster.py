@@ -79,6 +79,7 @@ NAMES = [
     "load_text_files",
     "next_month_join",
     "rewrite_preaggregate",
+    "qualified_names",
 ]
 
 
