@@ -80,6 +80,7 @@ NAMES = [
     "next_month_join",
     "rewrite_preaggregate",
     "qualified_names",
+    "sections_summary",
 ]
 
 
