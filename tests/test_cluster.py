@@ -81,6 +81,7 @@ NAMES = [
     "rewrite_preaggregate",
     "qualified_names",
     "sections_summary",
+    "steps_clean",
 ]
 
 
