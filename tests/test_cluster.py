@@ -82,6 +82,7 @@ NAMES = [
     "qualified_names",
     "sections_summary",
     "steps_clean",
+    "steps_cross",
 ]
 
 
