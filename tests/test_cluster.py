@@ -83,6 +83,7 @@ NAMES = [
     "sections_summary",
     "steps_clean",
     "steps_cross",
+    "steps_compounding",
 ]
 
 
