@@ -84,6 +84,7 @@ NAMES = [
     "steps_clean",
     "steps_cross",
     "steps_compounding",
+    "steps_full",
 ]
 
 
