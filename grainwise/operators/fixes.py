@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from grainwise.errors import AuditError
 from grainwise.operators.profile import holds, top_keys
 from grainwise.operators.rewrites import (
-    ROW_COUNT, grain_alias, measure_fn, measures_used, pick_order_col, rewrite_chain)
+    ROW_COUNT, grain_alias, keep_latest, measure_fn, measures_used, pick_order_col, rewrite_chain)
 from grainwise.plans.forest import Counts, Forest
-from grainwise.plans.spec import JoinChain, quoted
+from grainwise.plans.spec import BoundJoin, JoinChain, quoted
 from grainwise.plans.storage import Shelf
 
 TOLERANCE = 1 + 1e-9
@@ -170,9 +170,7 @@ def build_fixes(chain: JoinChain, i: int, counts: Counts, forest: Forest, exact_
         f"{tail if b.using else f'ON {pairs}'}", rows))
 
     order = j.order_col or pick_order_col(bound.columns[b.pos], keys)
-    rewritten = rewrite_chain(chain, i, "keep_latest").joins[i].df
-    rows = verified(if_simple(lambda: counts.one_per_key if no_residual else forest.recount(b, rewritten)),
-                    "keep_latest")
+    rows = verified(if_simple(lambda: counts.one_per_key if no_residual else forest.recount(b, _latest(b))), "keep_latest")
     fixes.append(Fix(
         "keep_latest", "Keep the latest row per key",
         f"Keeps the row with the greatest {order}; check that this is the row the query wants."
@@ -181,6 +179,14 @@ def build_fixes(chain: JoinChain, i: int, counts: Counts, forest: Forest, exact_
     return fixes
 
 
+def _latest(b: BoundJoin) -> DataFrame:
+    """The latest row per key of a right input, with the columns that the further condition
+    names; with all of them if it has a star."""
+    text = b.join.residual.lower()
+    named = None if "*" in text else [*b.residual_right, *(c for c in b.join.df.columns if c.lower() in text)]
+    return keep_latest(b.join.df, b.right, b.join.order_col, named)
+
+
 def keep_latest_sql(schema: T.StructType, table: str, keys: list[str], order: str | None) -> str:
     """Spark SQL that keeps one row per key, as :func:`keep_latest` does."""
     key_list = ", ".join(map(_name, keys))

@@ -71,7 +71,8 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.groupBy(*map(quoted, df.columns)).agg(F.count(F.lit(1)).alias("__n")).drop("__n")
 
 
-def _hashable(df: DataFrame) -> bool:
+def hashable(df: DataFrame) -> bool:
+    """Whether equal values are the same values: no collated strings, and none that cannot be compared."""
     plain = all(t.simpleString() == "string" for f in df.schema.fields
                 for t in [f.dataType] if isinstance(t, T.StringType))
     return plain and not any(holds(f.dataType, T.MapType, T.VariantType) for f in df.schema.fields)
@@ -85,7 +86,7 @@ def exact_duplicates(df: DataFrame) -> DataFrame:
     """
     df = groupable(df)
     spark = df.sparkSession
-    if df.columns and _hashable(df):
+    if df.columns and hashable(df):
         columns = [quoted(c) for c in df.columns]
         hashes = F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
         groups = df.groupBy(hashes.alias("h")).agg(F.count(F.lit(1)).alias("c"))

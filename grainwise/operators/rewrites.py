@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.errors import AuditError
-from grainwise.operators.profile import distinct_rows, holds
+from grainwise.operators.profile import distinct_rows, hashable, holds
 from grainwise.plans.spec import JoinChain, quoted
 
 # Name parts that hint at a column telling rows apart by age, in order
@@ -41,10 +41,14 @@ def pre_aggregate(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -
         F.count(F.lit(1)).alias(ROW_COUNT))
 
 
-def keep_latest(df: DataFrame, keys: Sequence[str], order_col: str | None = None) -> DataFrame:
+def keep_latest(df: DataFrame, keys: Sequence[str], order_col: str | None = None, read: Sequence[str] | None = None) -> DataFrame:
     """One row per key, the one with the greatest ``order_col``; the remaining columns
     break ties in column order.
 
+    ``read`` names the columns that are read of it (default: all).  Columns that break ties
+    after the last of these are left out before the shuffle: rows that tie up to there agree in all
+    that is read.
+
     An aggregate instead of a window: every task keeps one row per key (by sorting its
     own rows, since the winner is a whole row), so a key with very many rows is reduced
     before the shuffle.
@@ -56,12 +60,18 @@ def keep_latest(df: DataFrame, keys: Sequence[str], order_col: str | None = None
         return df.select(*map(quoted, keys)).distinct()
     order = [c for c in dict.fromkeys([first, *rest])
              if not holds(df.schema[c].dataType, T.MapType, T.VariantType)]
+    wanted = None if read is None else {c.lower() for c in read} - key_set
+    if wanted is not None and wanted <= {c.lower() for c in order}:
+        last = max((n for n, c in enumerate(order) if c.lower() in wanted), default=0)
+        if hashable(df.select(*map(quoted, order[:last + 1]))):
+            order = order[:last + 1]
+            rest = [c for c in rest if c in order] or rest[:1]
     row, ranked = F.struct(*map(quoted, rest)), F.struct(*map(quoted, order))
     # the row itself is the order, unless some column has none
-    best = F.max(ranked) if len(order) == len(rest) else F.max_by(row, ranked) if order else F.any_value(row)
+    best = F.max(ranked) if set(order) == set(rest) else F.max_by(row, ranked) if order else F.any_value(row)
     kept = df.groupBy(*map(quoted, keys)).agg(best.alias("__row"))
     by_name = {c: F.col("__row").getField(c) for c in rest}
-    return kept.select(*[by_name[c].alias(c) if c in by_name else quoted(c) for c in df.columns])
+    return kept.select(*[by_name[c].alias(c) if c in by_name else quoted(c) for c in df.columns if c in by_name or c.lower() in key_set])
 
 
 def measures_used(chain: JoinChain, i: int) -> list[str]:

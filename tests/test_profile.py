@@ -1,5 +1,7 @@
 """Key profiles, exact copies, top keys, sample rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from grainwise import Join, JoinChain, audit, exact_duplicates, keep_latest, key
 from grainwise.operators.fixes import grain_columns
 from grainwise.operators.rewrites import measure_fn, pick_order_col
 from grainwise.operators.samples import worst_key_rows
+from grainwise.plans.forest import Forest
 from grainwise.plans.prefix import unique_names
 
 
@@ -91,6 +94,42 @@ def test_keep_latest(rows, spark):
     assert keep_latest(ties.select("k"), ["k"]).count() == 1
 
 
+def test_keep_latest_of_the_columns_that_are_read(spark):
+    rng = random.Random(5)
+    some = lambda *values: rng.choice([None, *values])
+    rows = spark.createDataFrame(
+        [(some(1, 2, 3), some(7, 8), some("x", "y"), some(0.5, float("nan")), some("p", "q"), {"m": rng.randrange(2)}) for _ in range(200)],
+        "k int, at int, s string, v double, pad string, m map<string,int>")
+    for order in ("at", "v", None, "k"):
+        whole = keep_latest(rows.drop("m"), ["k"], order)
+        for read in (["s"], ["S", "k"], ["v"], ["at", "pad"], ["at"], []):
+            got = keep_latest(rows, ["k"], order, read)
+            columns = ["k", *(c for c in whole.columns if c != "k" and c in {r.lower() for r in read})]
+            assert "m" not in got.columns and set(columns) <= set(got.columns)
+            assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, whole.select(columns).collect()))
+    assert keep_latest(rows, ["k"], "at", ["s"]).columns == ["k", "at", "s"]
+    assert keep_latest(rows, ["k"], "at", ["m"]).columns == rows.columns  # a map has no order, so its row is kept whole
+
+
+def test_recount_shuffles_what_the_condition_reads(spark, monkeypatch):
+    """Whole rows of the repeating table went through the shuffle before."""
+    left = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    right = spark.createDataFrame([(1, 1, 5.0, "a"), (1, 1, 9.0, "b"), (1, 0, 99.0, "c"), (2, 3, 1.0, "d"), (2, 2, 50.0, "e")],
+                                  "key int, at_date int, v double, pad string")
+    seen, recount = [], Forest.recount
+    monkeypatch.setattr(Forest, "recount", lambda self, b, df: seen.append(df.columns) or recount(self, b, df))
+
+    def latest(condition, how="inner"):
+        chain = JoinChain(left, "l", [Join(right, "r", how, on=[("l.id", "key")], residual=condition)], select=["l.id", "r.v"])
+        return {f.kind: f.verified_rows for f in audit(chain).step_list[0].fixes}["keep_latest"], seen.pop()
+
+    assert latest("r.v > 4") == (1, ["key", "at_date", "v"])  # of key 2, the latest row has 1.0
+    assert latest("v > 4", "left") == (3, ["key", "at_date", "v"])
+    assert latest("r.pad <> 'd'") == (1, ["key", "at_date", "v", "pad"])
+    assert latest("r.v * 2 > 4") == (1, ["key", "at_date", "v", "pad"])  # may be a star
+    assert not seen
+
+
 def test_pre_aggregate(rows):
     got = {r["k"]: (r["s"], r["v"], r["_row_count"]) for r in pre_aggregate(rows, ["k"], ["s", "v"]).collect()}
     assert got == {1: ("b", 4.0, 3), 2: (None, 3.0, 1), None: ("a", 13.0, 3)}
