@@ -671,10 +671,11 @@ class Forest:
     def _measure_range(self, i: int) -> Counts | None:
         """Counts a join whose further condition is one comparison, or holds a value within an
         interval, by running sums; None if it is neither, or if later joins read columns of
-        its right side."""
+        its right side, unless it is a comparison and they read nothing else."""
         b = self.chain.joins[i]
         one, span, later = comparison(self.chain, b), interval(self.chain, b), self._left_only(i)
-        if (one is None and span is None) or later is None:
+        of_right = self._right_only(i) if one is not None and later is None else None
+        if (one is None and span is None) or (later is None and of_right is None):
             return None
         left_at, right_at = (span.left, span.right) if span else ({"v": one[0]}, {"v": one[2]})
         state, exprs, counts = self._profile_joint(i)
@@ -693,7 +694,7 @@ class Forest:
         if span:
             both, right = span.matches(left, right, keys, measures, self.partitions, self._find_repeated(max(counts.rows_before, counts.n_rows)))
         else:
-            both = right = range_matches(left, right, keys, one[1], measures, self.partitions)
+            both = right = range_matches(left, right, keys, one[1], measures, self.partitions, of_right is not None)
         last = i == len(self.chain.joins) - 1
         if not last:
             both = self.shelf.hold(both)
@@ -719,9 +720,31 @@ class Forest:
                          cols, self.n_measures, weight_type(state.bound * max(1, most)), hot_left=hot)
             return df.where(F.col(W) > 0) if b.how == "anti" else df
 
-        self._next = lambda: self._state_parts(b, state, state_after(), most, right_rest)
+        if of_right is not None:
+            self._next = lambda: self._right_parts(b, state, both, keys, one[2], type_, of_right, counts)
+        else:
+            self._next = lambda: self._state_parts(b, state, state_after(), most, right_rest)
         return counts
 
+    def _right_parts(self, b: BoundJoin, state: Node, both: DataFrame, keys: list[str], value: str, type_: str,
+                     later: set[Ref], counts: Counts) -> list[Part]:
+        """The state after a join on one comparison of which only the right side is read later:
+        its tuples, each with the left rows that it matches, so that no pairs are formed."""
+        measures, weight = measure_names(self.n_measures), weight_type(counts.rows_after)
+        cols = sorted(self.chain.physical(r) for r in later)
+        rows = b.join.df.select(*self._cast(b, [quoted(c) for c in b.right], "q"), quoted(value).cast(type_).alias("w"),
+                                *[quoted(r.column).alias(self.chain.physical(r)) for r in sorted(later, key=str)],
+                                F.lit(1).cast("bigint").alias(W))
+        at = [*[f"q{n}" for n in range(len(keys))], "w"]
+        rows = regroup(rows, at + cols, 0, "bigint")
+        few = both.where("found > 0 AND rw > 0").select(*keys, "v", F.col("found").alias(W), *[F.col(f"{m}_found").alias(m) for m in measures])
+        df = combine(few, rows, list(zip([*keys, "v"], at)), "right" if b.how in ("right", "full") else "inner", cols,
+                     self.n_measures, weight, hot_right=self._find_repeated(counts.n_rows)(rows, at))
+        if b.how in ("left", "full"):  # left rows without a match
+            rest = regroup(both.where("lw > 0 AND hits = 0").withColumnRenamed("lw", W), [], self.n_measures, weight)
+            df = regroup(df.unionByName(rest, allowMissingColumns=True), cols, self.n_measures, weight)
+        return [Part(Node(state.inputs | {b.pos}, df, max(1, counts.rows_after), mixed=state.mixed or b.how in ("right", "full"), scan=False))]
+
     def _find_repeated(self, rows: int) -> Callable[[DataFrame, list[str]], Hot | None]:
         """Finds the values that too many tuples of a frame hold; none are looked for in a
         frame of few rows."""
@@ -771,6 +794,13 @@ class Forest:
         later = self.chain.needed_after(i, alive | {b.pos}, mixed=True)
         return None if any(r.alias == b.join.alias for r in later) else later
 
+    def _right_only(self, i: int) -> set[Ref] | None:
+        """What later joins read, if all of it is of the right side of join ``i``."""
+        b = self.chain.joins[i]
+        alive = set().union(*(p.alive() for p in self.parts)) if self.parts else set()
+        later = self.chain.needed_after(i, alive | {b.pos}, mixed=True)
+        return later if all(r.alias == b.join.alias for r in later) else None
+
     def _measure_any(self, i: int) -> Counts | None:
         """Counts a join whose further condition is equalities joined by OR; None if it is
         not, or if later joins read columns of its right side."""

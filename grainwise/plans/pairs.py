@@ -111,7 +111,8 @@ def join_ranges(left: DataFrame, right: DataFrame, found: Bounds, alias: str, co
     last = F.least(*[bucket_of(x, cuts) for x in upper], F.lit(len(cuts)), F.lit(len(cuts))) if upper else F.lit(len(cuts))
     complete = reduce(lambda x, y: x & y, [x.isNotNull() for x in lower + upper])
     reach = F.when(complete & (first <= last), F.sequence(first, last))
-    copies = right.withColumn("__at", F.explode(reach))
+    # Spark takes the copies for as few as the rows, and would send them to the driver
+    copies = right.withColumn("__at", F.explode(reach)).hint("merge")
     placed = left.withColumn("__in", bucket_of(value, cuts))
     on = (F.col("__in") == F.col("__at")) & condition
     if how in ("left_semi", "left_anti"):

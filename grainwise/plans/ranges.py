@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,10 +88,33 @@ def running(points: DataFrame, keys: Sequence[str], sums: Sequence[str], cuts: l
     return points.withColumns({f"{c}_upto": F.col(f"{c}_before") + F.col(f"{c}_upto") for c in sums}).drop(*[f"{c}_before" for c in sums])
 
 
+def found_sums(points: DataFrame, keys: Sequence[str], sums: Sequence[str], op: str, cuts: list) -> DataFrame:
+    """``points`` (one row per ``keys`` and value ``v``) with, for each of ``sums``, ``<c>_found``,
+    its sum over the key's values that stand in relation ``op`` to this one, NULL if none has any.
+
+    Summed from the end where these values begin: nothing is subtracted, so that floating-point
+    numbers keep their digits."""
+    own = list(map(quoted, keys))
+
+    def until(partition: Sequence[Column], column: str, last: int) -> WindowSpec:
+        order = F.col(column).asc() if op[0] == "<" else F.col(column).desc()
+        return Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+
+    points = points.withColumn("bucket", bucket_of(F.col("v"), cuts))
+    totals = points.groupBy(*own, "bucket").agg(*[F.sum(c).alias(f"{c}_here") for c in sums])
+    before = until(own or [F.lit(0)], "bucket", -1)
+    totals = totals.withColumns({f"{c}_before": F.sum(f"{c}_here").over(before) for c in sums}).drop(*[f"{c}_here" for c in sums])
+    here = until([*own, F.col("bucket")], "v", Window.currentRow if "=" in op else -1)
+    points = points.withColumns({f"{c}_found": F.sum(c).over(here) for c in sums}).join(totals, [*keys, "bucket"])
+    both = {f"{c}_found": F.coalesce(F.col(f"{c}_before") + F.col(f"{c}_found"), f"{c}_before", f"{c}_found") for c in sums}
+    return points.withColumns(both).drop("bucket", *[f"{c}_before" for c in sums])
+
+
 def range_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], op: str, extra: Sequence[str],
-                  partitions: int) -> DataFrame:
+                  partitions: int, found_extra: bool = False) -> DataFrame:
     """Per key and value ``v``: ``lw`` left and ``rw`` right rows, ``hits`` right rows that a
-    left row here matches, ``found`` left rows that a right row here matches.
+    left row here matches, ``found`` left rows that a right row here matches, and with
+    ``found_extra`` the sums ``<c>_found`` of ``extra`` over these.
 
     ``left`` has columns ``keys, v, lw, lt`` and ``extra``, ``right`` has ``keys, v, rw``,
     one row per key and value.
@@ -103,6 +126,9 @@ def range_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], op: st
     both = left.where(valid).unionByName(right.where(valid), allowMissingColumns=True)
     both = both.groupBy(*cols).agg(*[F.sum(c).alias(c) for c in sums]).fillna(0, ["lw", "lt", "rw"])
     both = running(both, keys, ["lw", "rw"], cuts)
+    met = list(extra) if found_extra else []
+    if met:
+        both = found_sums(both, keys, met, op, cuts)
 
     def matching(own: str, op: str):
         """Rows of the side weighted by ``own`` whose value stands in relation ``op`` to this row's."""
@@ -111,6 +137,6 @@ def range_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], op: st
                 ">=": F.col(f"{own}_all") - up_to + F.col(own)}[op]
 
     # left v `op` right value, hence the right value stands in the mirrored relation to v
-    out = both.select(*cols, *sums, matching("rw", MIRRORED[op]).alias("hits"), matching("lw", op).alias("found"))
-    rest = left.where(~valid).withColumns({"rw": F.lit(0), "hits": F.lit(0), "found": F.lit(0)})
+    out = both.select(*cols, *sums, matching("rw", MIRRORED[op]).alias("hits"), matching("lw", op).alias("found"), *[f"{c}_found" for c in met])
+    rest = left.where(~valid).withColumns({"rw": F.lit(0), "hits": F.lit(0), "found": F.lit(0), **{f"{c}_found": F.lit(None) for c in met}})
     return out.unionByName(rest.select(*out.columns))

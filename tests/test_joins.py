@@ -448,6 +448,54 @@ def test_no_nested_loops(spark, how):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("how, op, keyed, floor", [
+    ("inner", "<=", False, 1), ("left", ">=", False, 1), ("left", "<", True, 10_000), ("right", ">", False, 10_000),
+    ("right", "<=", True, 1), ("full", "<", False, 1), ("full", ">=", True, 10_000), ("inner", ">", True, 1)])
+def test_range_then_only_the_right_side_forms_no_pairs(spark, how, op, keyed, floor, monkeypatch):
+    """Later joins read the right side alone; some keys, values and measures are NULL."""
+    monkeypatch.setattr("grainwise.plans.forest.Forest._measure_real", None)
+    a = spark.createDataFrame([(i % 3 if i % 8 else None, i % 11 if i % 7 else None, i if i % 4 else None,
+                                i / 4) for i in range(50)], "k int, v int, m int, d double")
+    b = spark.createDataFrame([(i % 4 if i % 9 else None, i % 13 if i % 5 else None, i % 6 if i % 7 else None)
+                               for i in range(40)], "k int, w bigint, n int")
+    few = spark.createDataFrame([(i % 5,) for i in range(8)], "n int")
+    chain = JoinChain(a.coalesce(1), "a", [
+        Join(b.coalesce(1), "b", how, on=[("a.k", "k")] if keyed else [], residual=f"b.w {op} a.v"),
+        Join(few, "c", "inner" if how == "left" else "left", on=[("b.n", "n")])],
+        select=["a.v"], aggs=[Agg("sum", "a.m"), Agg("count", "a.m"), Agg("sum", "a.d")])
+    r = audit(chain, fixes=False, exact_duplicates=False, hot_floor=floor)
+    assert [s.rows_after for s in r.step_list] == [chain.to_df(n).count() for n in (1, 2)]
+    joined = chain.to_df().agg(F.sum("m"), F.count("m"), F.sum("d")).first()
+    assert [x.joined_value for x in r.risk_list] == [joined[0], joined[1], pytest.approx(joined[2])]
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_sums_of_found_rows_keep_their_digits(spark, op):
+    """A large number beside small ones is not taken off again where it was never counted."""
+    from grainwise.plans.ranges import range_matches
+
+    values = [(1, 0.5), (2, 1e20), (4, None), (5, 0.25), (7, 1e20), (8, 2.0)]
+    left = spark.createDataFrame(values, "v bigint, s double").select("v", F.lit(1).alias("lw"), F.lit(1).alias("lt"), "s")
+    right = spark.range(10).select(F.col("id").alias("v"), F.lit(1).alias("rw"))
+    for r in range_matches(left, right, [], op, ["s"], 3, True).where("rw > 0").collect():
+        met = [s for v, s in values if eval(f"{v} {op} {r.v}")]
+        assert r.found == len(met)
+        assert r.s_found == (sum(s for s in met if s is not None) if any(s is not None for s in met) else None)
+
+
+def test_copies_for_ranges_are_not_broadcast(spark):
+    """Their number is the rows times the ranges they reach, which Spark does not see."""
+    from grainwise.plans.pairs import Bounds, join_ranges
+    from grainwise.plans.spec import Ref
+
+    a = spark.range(50).select(F.struct(F.col("id").alias("k")).alias("a"), F.lit(1).alias("x"))
+    b = spark.range(9).select(F.struct(F.col("id").alias("k")).alias("b"))
+    for how in ("inner", "left", "right", "full", "left_semi", "left_anti"):
+        df = join_ranges(a, b, Bounds(Ref("a", "k"), ["k"], [], "bigint"), "b", F.expr("a.k >= b.k"), how, 8)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and df.count() == a.join(F.broadcast(b), F.expr("a.k >= b.k"), how).count()
+
+
 def test_sums_keep_every_digit(spark):
     a = spark.createDataFrame([(1, 2**53 + 1), (1, 2), (2, None)], "k int, v bigint").withColumn("d", F.expr("cast(v as decimal(30,8)) + 0.00000001"))
     b = spark.createDataFrame([(1, i) for i in range(3)], "k int, n int")
